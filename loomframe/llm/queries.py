@@ -2,14 +2,51 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from . import exact_dedup, mixing
+from .exact_dedup import content_sort_dedup
+from .fitting import remainder
+from .mixing import pareto_mixture
 from .ngram_join import jaccard_groups
+from .quality import fit_quality, quality_scores
 from .stash import documents
+from .toxicity import fit_toxicity, toxicity_scores
+
+
+def _labels(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
 def op1_ngram_jaccard_join(spark, sf_dir):
     return jaccard_groups(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join,)}
+def op3_toxicity_grammar(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    grammar = fit_toxicity(docs, _labels(spark, sf_dir), remainder("doc_id", 3) != 1)
+    scores = toxicity_scores(docs, grammar, toxic=0.7)
+    return scores.withColumn("held_out", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)))
+
+
+def op6_pareto_mixture(spark, sf_dir):
+    return pareto_mixture(documents(spark, sf_dir))
+
+
+def op8_pairwise_quality(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = fit_quality(docs, _labels(spark, sf_dir), remainder("doc_id", 5) != 0)
+    scores = quality_scores(docs, model, accept=0.3)
+    return scores.withColumn("held_out", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)))
+
+
+def op9_content_sort_dedup(spark, sf_dir):
+    return content_sort_dedup(documents(spark, sf_dir), keep="largest")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_ngram_jaccard_join, op3_toxicity_grammar, op6_pareto_mixture, op8_pairwise_quality, op9_content_sort_dedup)
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_pareto_mixture": mixing.ORACLE, "op9_content_sort_dedup": exact_dedup.ORACLE}
