@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, found, mixing, personal_data, secret_scan
 from .exact_dedup import content_sort_dedup
 from .fitting import remainder
 from .mixing import pareto_mixture
@@ -29,6 +29,18 @@ def op3_toxicity_grammar(spark, sf_dir):
     return scores.withColumn("held_out", F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)))
 
 
+def _digests(rows, kinds, base_kinds):
+    columns = {f"n_{k}": found.count(F.col("base"), k) for k in base_kinds}
+    columns["base_sha256"] = F.sha2(found.listing(F.col("base"), base_kinds), 256)
+    columns["spans"] = found.listing(F.concat("base", "added"), kinds)
+    return rows.select("doc_id", *(c.alias(name) for name, c in columns.items()))
+
+
+def op5_secret_scan(spark, sf_dir):
+    rows = secret_scan.secret_spans(documents(spark, sf_dir))
+    return _digests(rows, secret_scan.KINDS, secret_scan.BASE_KINDS)
+
+
 def op6_pareto_mixture(spark, sf_dir):
     return pareto_mixture(documents(spark, sf_dir))
 
@@ -44,9 +56,18 @@ def op9_content_sort_dedup(spark, sf_dir):
     return content_sort_dedup(documents(spark, sf_dir), keep="largest")
 
 
+def op10_personal_data(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    rows = personal_data.personal_spans(docs, personal_data.fit_judge(docs))
+    return _digests(rows, personal_data.KINDS, personal_data.KINDS)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_ngram_jaccard_join, op3_toxicity_grammar, op6_pareto_mixture, op8_pairwise_quality, op9_content_sort_dedup)
+    for f in (
+        op1_ngram_jaccard_join, op3_toxicity_grammar, op5_secret_scan, op6_pareto_mixture, op8_pairwise_quality,
+        op9_content_sort_dedup, op10_personal_data,
+    )
 }
 
 ORACLES: dict[str, str] = {"op6_pareto_mixture": mixing.ORACLE, "op9_content_sort_dedup": exact_dedup.ORACLE}
