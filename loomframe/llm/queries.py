@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import exact_dedup, found, mixing, personal_data, secret_scan
+from .decontaminate import benchmark_leaks
 from .exact_dedup import content_sort_dedup
 from .fitting import remainder
 from .mixing import pareto_mixture
 from .ngram_join import jaccard_groups
 from .quality import fit_quality, quality_scores
 from .stash import documents
+from .token_counts import section_tokens
 from .toxicity import fit_toxicity, toxicity_scores
 
 
@@ -36,6 +38,10 @@ def _digests(rows, kinds, base_kinds):
     return rows.select("doc_id", *(c.alias(name) for name, c in columns.items()))
 
 
+def op4_benchmark_decontamination(spark, sf_dir):
+    return benchmark_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_secret_scan(spark, sf_dir):
     rows = secret_scan.secret_spans(documents(spark, sf_dir))
     return _digests(rows, secret_scan.KINDS, secret_scan.BASE_KINDS)
@@ -45,6 +51,10 @@ def op6_pareto_mixture(spark, sf_dir):
     return pareto_mixture(documents(spark, sf_dir))
 
 
+def op7_section_tokens(spark, sf_dir):
+    return section_tokens(documents(spark, sf_dir), rule="start")
+
+
 def op8_pairwise_quality(spark, sf_dir):
     docs = documents(spark, sf_dir)
     model = fit_quality(docs, _labels(spark, sf_dir), remainder("doc_id", 5) != 0)
@@ -65,8 +75,8 @@ def op10_personal_data(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_ngram_jaccard_join, op3_toxicity_grammar, op5_secret_scan, op6_pareto_mixture, op8_pairwise_quality,
-        op9_content_sort_dedup, op10_personal_data,
+        op1_ngram_jaccard_join, op3_toxicity_grammar, op4_benchmark_decontamination, op5_secret_scan, op6_pareto_mixture,
+        op7_section_tokens, op8_pairwise_quality, op9_content_sort_dedup, op10_personal_data,
     )
 }
 
