@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import exact_dedup, found, mixing, personal_data, secret_scan
+from .context_tree import context_tree_scores
 from .decontaminate import benchmark_leaks
 from .exact_dedup import content_sort_dedup
 from .fitting import remainder
@@ -24,6 +25,10 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return jaccard_groups(documents(spark, sf_dir))
 
 
+def op2_context_tree_weighting(spark, sf_dir):
+    return context_tree_scores(documents(spark, sf_dir), remainder("doc_id", 7) == 2)
+
+
 def op3_toxicity_grammar(spark, sf_dir):
     docs = documents(spark, sf_dir)
     grammar = fit_toxicity(docs, _labels(spark, sf_dir), remainder("doc_id", 3) != 1)
@@ -75,7 +80,7 @@ def op10_personal_data(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_ngram_jaccard_join, op3_toxicity_grammar, op4_benchmark_decontamination, op5_secret_scan, op6_pareto_mixture,
+        op1_ngram_jaccard_join, op2_context_tree_weighting, op3_toxicity_grammar, op4_benchmark_decontamination, op5_secret_scan, op6_pareto_mixture,
         op7_section_tokens, op8_pairwise_quality, op9_content_sort_dedup, op10_personal_data,
     )
 }
