@@ -2,16 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-STAGES: list = []
+from loomframe.llm.decontaminate import benchmark_leaks
+from loomframe.llm.exact_dedup import content_sort_dedup
+from loomframe.llm.mixing import pareto_mixture
+from loomframe.llm.ngram_join import jaccard_groups
+from loomframe.llm.quality import fit_quality, quality_scores
+from loomframe.llm.stash import documents, stash
+
+
+def _rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids``, in their own columns."""
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the pairwise ranking accepts. Rows without a doc_id end here: nothing later could name them."""
+    named = docs.where("doc_id is not null")
+    model = fit_quality(named, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
+    return _rows(named, quality_scores(named, model).where("predicted = 1"))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of those with the same text, the one with the smallest doc_id; a row that repeats stays once."""
+    found = content_sort_dedup(docs, keep="smallest")
+    kept = stash(found.where("kept").select("doc_id"), "kept")
+    rows = _rows(docs, kept)
+    # a doc_id that stands on several rows: the row is kept once for each text
+    twice = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    return rows.join(twice, "doc_id", "left_anti").select(*docs.columns).union(
+        rows.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    )
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that n-gram similarity links: the one with the smallest doc_id."""
+    return _rows(docs, jaccard_groups(docs).where("doc_id = component_id"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    leaks = benchmark_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mixture takes."""
+    return pareto_mixture(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mixture", mixture),
+]
+#: The first stage is a fitted model, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; each result is written and read back before the next."""
-    from loomframe.llm.stash import documents, stash
-
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = stash(stage(spark, docs, sf_dir), name)
