@@ -23,7 +23,7 @@ _BACK = pow(_BASE, -1, 2**64)
 _powers: dict[int, np.ndarray] = {}
 
 #: Bytes of text that one numpy pass handles; a longer document is handled alone, whole.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,6 +35,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in ascending order."""
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    keep[1:] = x[1:] != x[:-1]
+    return x[keep]
+
+
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
@@ -104,7 +112,7 @@ def shingle_sets(column: pa.Array, size: int = 5) -> Iterator[tuple[int, np.ndar
         for i in range(end - row):
             lo, hi = firsts[i], firsts[i + 1]
             if hi - lo >= size:
-                yield row + i, np.unique(hashes[lo : hi - size + 1])
+                yield row + i, distinct(hashes[lo : hi - size + 1])
             elif hi > lo:
                 short = np.full(1, hi - lo, np.uint64)
                 for k in range(lo, hi):
