@@ -9,8 +9,8 @@ How groups of copies stay cheap, without dropping a link:
 * equal sets are one class before anything is joined, so thousands of exact copies are one vertex;
 * a pair above the threshold shares a shingle among the first ``n - ceil(t n) + 1`` of either set, in any global order,
   so only prefixes are exchanged, and frequent shingles stand last and rarely reach them;
-* a shingle that no second class has in its prefix bounds what its document can share; the bound discards pairs
-  that share boilerplate alone before they are made;
+* a prefix shingle that no second class has bounds what its document can share, and so does each one that stands before
+  the first common one; the bound discards pairs that share boilerplate alone before they are made;
 * in a posting list of over ``hot`` classes, the members are first compared to the list's most central member. Only
   members that this leaves in different components are compared with each other: a link inside a component changes
   nothing in the result.
@@ -44,10 +44,13 @@ def _frequent(docs: DataFrame, text: str, size: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, off, data in chunks(batch.column(0), 1 << 23):
+            seen = [np.zeros(0, np.uint64)]
+            for _, _, off, data in chunks(batch.column(0)):
                 starts, ends, _ = spans(off, data)
-                hashes, n = np.unique(shingle_hashes(word_hashes(data, starts, ends), size), return_counts=True)
-                keep = n > 1
+                seen.append(shingle_hashes(word_hashes(data, starts, ends), size))
+            hashes, n = np.unique(np.concatenate(seen), return_counts=True)
+            keep = n > 1
+            if keep.any():
                 yield pa.RecordBatch.from_arrays(
                     [_signed(hashes[keep]), pa.array(n[keep])], names=["token", "n"]
                 )
@@ -161,10 +164,15 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int,
     return total.join(na, "a").join(nb, "b").where(similar).select("a", "b")
 
 
+def _least(percent: int):
+    """The shingles that x and y must share."""
+    return (F.col("x.n") + F.col("y.n")) * percent / (100 + percent)
+
+
 def _fit(percent: int):
     """Condition on the rows x and y of a posting list: sizes and what can be shared at most leave the pair possible."""
-    least = (F.col("x.n") + F.col("y.n")) * percent / (100 + percent)
-    return (F.least("x.most", "y.most") >= least) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
+    sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+    return (F.least("x.left", "y.left") >= _least(percent)) & sizes
 
 
 def jaccard_groups(
@@ -199,25 +207,21 @@ def jaccard_groups(
     # In each fragment of the order, keep the prefix shingles that a second class has there too.
     rows = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     bits = max(6, int(rows // FRAGMENT_ROWS).bit_length())
-    tokens = classes.select("c", "n", F.size("prefix").alias("p"), F.explode("prefix").alias("token"))
+    tokens = classes.select("c", "n", F.size("prefix").alias("p"), F.posexplode("prefix").alias("at", "token"))
     near = Window.partitionBy(F.shiftrightunsigned("token", 64 - bits)).orderBy("token")
-    shared = stash(
+    shared = (
         tokens.withColumns({"before": F.lag("token").over(near), "after": F.lead("token").over(near)})
         .where("token = before or token = after")
-        .select("token", "c", "n", "p"),
-        "shared",
-    )
-
-    # What a class can share at most: its shingles without those of its prefix that nobody else has there.
-    most = shared.groupBy("c").agg((F.first("n") - F.first("p") + F.count(F.lit(1))).alias("most"))
-    lists = shared.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
-    postings = stash(
-        shared.join(most, "c")
-        .where(F.col("most") * 100 >= F.col("n") * percent)
-        .join(lists, "token")
-        .select("token", "c", "n", "most", "m"),
-        "postings",
+        .select("token", "c", "n", "p", "at")
     )
+    # left: what a class can share at most with one that it first meets in this shingle. Of its n shingles, those of the
+    # prefix that nobody else has there are out, and so are the shared ones that stand before this one.
+    of_class = Window.partitionBy("c")
+    left = F.col("n") - F.col("p") + F.count(F.lit(1)).over(of_class) - F.row_number().over(of_class.orderBy("at")) + 1
+    postings = shared.withColumn("left", left).where(F.col("left") * 100 >= F.col("n") * percent).drop("at")
+    postings = stash(postings, "postings")
+    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    postings = stash(postings.join(lists, "token"), "lists")
 
     cool = postings.where(F.col("m") <= hot)
     pairs = (
@@ -225,9 +229,8 @@ def jaccard_groups(
         .select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
     )
     busy = postings.where(F.col("m") > hot)
-    centre = busy.groupBy("token").agg(
-        F.min(F.struct((F.col("n") - F.col("most")) / F.col("n"), "c", "n", "most")).alias("x")
-    ).select("token", F.col("x.c").alias("c"), F.col("x.n").alias("n"), F.col("x.most").alias("most"))
+    centre = busy.groupBy("token").agg(F.min(F.struct(1 - F.col("left") / F.col("n"), "c", "n", "left")).alias("x"))
+    centre = centre.select("token", F.col("x.c").alias("c"), F.col("x.n").alias("n"), F.col("x.left").alias("left"))
     to_centre = (
         busy.alias("y").join(centre.alias("x"), F.expr("x.token = y.token and x.c <> y.c") & _fit(percent))
         .select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b"))
@@ -237,14 +240,20 @@ def jaccard_groups(
 
     if not busy.isEmpty():
         # What the centres left apart: members outside a list's main component against all members of other components.
+        # A pair is made in the first list that it shares, and only if the prefixes share enough: beyond them, no more
+        # can be shared than the longer remainder.
         part = connected_components(links).withColumnsRenamed({"id": "c", "component": "part"})
         member = busy.join(part, "c", "left").withColumn("part", F.coalesce("part", F.col("c")))
         main = member.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k"))
         main = main.groupBy("token").agg(F.max_by("part", F.struct("k", "part")).alias("main"))
-        member = stash(member.join(main, "token").withColumn("outside", F.expr("part <> main")), "members")
+        heads = classes.select("c", "prefix").join(busy.select("c").distinct(), "c")
+        member = member.join(main, "token").withColumn("outside", F.expr("part <> main")).join(heads, "c")
+        member = stash(member, "members")
         apart = F.expr("x.token = y.token and x.outside and x.part <> y.part and (not y.outside or x.c < y.c)")
+        common = F.array_intersect("x.prefix", "y.prefix")
+        enough = F.size(common) + F.greatest(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p")) >= _least(percent)
         rest = (
-            member.where("outside").alias("x").join(member.alias("y"), apart & _fit(percent))
+            member.where("outside").alias("x").join(member.alias("y"), apart & _fit(percent) & enough)
             .select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b"))
             .distinct()
         )
