@@ -44,6 +44,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     e = stash(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc"
     )
+    last = None
     for _ in range(rounds):
         # large star: every larger neighbour of u (and u's minimum) hangs from the minimum of u's neighbourhood
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -53,13 +54,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         # small star: u and its smaller neighbours hang from the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
-        nxt = stash(small.where("u <> v").distinct(), "cc")
-        # done when every vertex hangs from one root that hangs from nothing, and nothing changed
-        same = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        was = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        e = nxt
-        if same == was:
+        e = stash(small.where("u <> v").distinct(), "cc")
+        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == last or not now[0]:
             break
+        last = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     leaves = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
