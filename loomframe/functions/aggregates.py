@@ -91,11 +91,14 @@ def CONCAT(src_column: str, dict_value_column: str | None = None) -> Aggregator:
     def mapped(c, kinds, order):
         key = present(c[0], kinds[0])
         tie = order if order is not None else F.lit(0).cast("long")
-        rows = F.array_sort(F.collect_list(F.when(key.isNotNull(), F.struct(tie.alias("o"), key.alias("k"), c[1].alias("v")))))
-        # map_from_entries refuses repeated keys unless told otherwise, so keep each key's last row
-        keys = F.array_distinct(F.transform(rows, lambda r: r["k"]))
-        last = F.transform(keys, lambda k: F.element_at(F.filter(rows, lambda r: r["k"] == k), -1)["v"])
-        return F.when(F.size(rows) > 0, F.map_from_arrays(keys, last))
+        rows = F.collect_list(F.when(key.isNotNull(), F.struct(key.alias("k"), tie.alias("o"), c[1].alias("v"))))
+
+        def last_of_each(o: Column) -> Column:
+            # sorted by key and order: an entry counts if the next one has another key
+            return F.filter(o, lambda e, i: ~F.coalesce(F.get(o, i + 1)["k"] == e["k"], F.lit(False)))
+
+        kept = F.transform(F.transform(F.array(F.array_sort(rows)), last_of_each)[0], lambda e: F.struct(e["k"], e["v"]))
+        return F.when(F.size(rows) > 0, F.map_from_entries(kept))
 
     if dict_value_column is None:
         return Aggregator("concat", (src_column,), listed, ordered=True, output="concat")

@@ -12,15 +12,25 @@ def words(c: Column, to_lower: bool = True) -> Column:
     return F.filter(found, lambda w: w != "")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once: inside a lambda, an expression that is no variable is computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def counted(items: Column) -> Column:
-    """A dict from each distinct item to its number, by one sort: runs of equal items end where the next one differs."""
-    ordered = F.array_sort(items)
-    distinct = F.array_distinct(ordered)
-    first = F.transform(distinct, lambda w: F.array_position(ordered, w))
-    after = F.concat(F.slice(first, 2, F.greatest(F.size(first) - 1, F.lit(0))), F.array((F.size(ordered) + 1).cast("long")))
-    counts = F.zip_with(first, after, lambda a, b: (b - a).cast("long"))
+    """A dict from each distinct item to its number: one sort, then the places where the next item differs."""
+
+    def from_sorted(o: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(o) - 1), lambda i: (i == 0) | (F.get(o, i) != F.get(o, i - 1)))
+        return bound(starts, lambda at: from_starts(o, at))
+
+    def from_starts(o: Column, at: Column) -> Column:
+        ends = F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(o)))
+        counts = F.zip_with(at, ends, lambda a, b: (b - a).cast("long"))
+        return F.map_from_arrays(F.transform(at, lambda i: F.get(o, i)), counts)
+
     empty = F.create_map().cast("map<string,bigint>")
-    return F.when(F.size(ordered) > 0, F.map_from_arrays(distinct, counts)).when(items.isNotNull(), empty)
+    return F.when(F.size(items) > 0, bound(F.array_sort(items), from_sorted)).when(items.isNotNull(), empty)
 
 
 def word_counts(c: Column, to_lower: bool = True) -> Column:
