@@ -50,17 +50,18 @@ def _targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame
 
 
 def pareto_mixture(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", affinity: str | None = None,
     weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 1,
 ) -> DataFrame:
     """How many words of each document a mixture of the sources takes.
 
     The size of a document is its number of words (runs of characters other than space and TAB..CR). Sources in code
     point order, null last, have the ``weights`` in turn and share the size of the table; a target stops at ``most``
-    times its source's size, and the excess is shared by weight among the others until none is above. A document of a
-    source with target / size = e is in the mixture floor(e) times for certain and once more with the odds of the
-    fraction. The sample stops where it is nearest to its source's target; one document is then added or taken out if
-    that brings the source nearer still.
+    times its source's size, and the excess is shared by weight among the others until none is above. Within a source a
+    document's expected copies are in proportion to its ``affinity`` (a column of numbers of at least 0; null counts as
+    0; without the column all are equal), ``most`` at the utmost. It is taken as many whole times for certain, and once
+    more with the odds of the fraction: of the documents in the order of random odds / inclusion odds, the first are
+    taken until the source is nearest to its target. One document is then added or taken out if that brings it nearer.
 
     Returns one row for each row of ``docs``: (``key``, size, source_size, target, taken), taken in words with repeats.
 
@@ -68,38 +69,57 @@ def pareto_mixture(
     source without words has target 0; rows that repeat draw the same number and are ranked next to each other; an empty
     table gives an empty result; other columns of ``docs`` are not looked at.
     """
+    liking = F.lit(1.0) if affinity is None else F.greatest(F.coalesce(F.col(affinity).cast("double"), F.lit(0.0)), F.lit(0.0))
     rows = stash(
         docs.select(
             F.col(key).alias("id"),
             F.col(source).alias("source"),
             F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             _draw(key, seed).alias("x"),
+            liking.alias("liking"),
         ),
         "sizes",
     )
-    bucket = F.shiftright("x", BITS - BUCKETS.bit_length() + 1)
-    sums = stash(rows.groupBy("source", bucket.alias("b")).agg(F.sum("size").alias("size")), "rank-sums")
-    plan = _targets(sums.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    plan = plan.withColumn("copies", copies).withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
-    plan = stash(plan, "targets")
-
-    # Inclusion odds are equal within a source, so random odds / inclusion odds rank as the random numbers do.
-    by_rank = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("liking")).alias("mass"))
+    plan = _targets(sizes.drop("mass"), weights, most).withColumnRenamed("source", "s")
+    # Sources are names of a catalogue: as few rows as sources, broadcast by Spark itself where they are small.
+    plan = stash(plan.join(sizes.select("source", "mass"), F.expr("s <=> source")).drop("source"), "targets")
+
+    expected = F.when(F.col("mass") > 0, F.least(F.col("target") * F.col("liking") / F.col("mass"), F.lit(float(most)))).otherwise(F.lit(0.0))
+    ranked = rows.join(plan, F.expr("source <=> s")).withColumn("expected", expected)
+    ranked = ranked.withColumn("copies", F.floor("expected").cast("long"))
+    odds = "((x + 0.5D) / {0}D) / (1D - (x + 0.5D) / {0}D)".format(1 << BITS)
+    ranked = ranked.withColumn("part", F.col("expected") - F.col("copies")).withColumn(
+        "rank", F.expr(f"case when part > 0 then ({odds}) / (part / (1D - part)) end")
+    )
+    # the rank's place on a scale of 52 bits; its leading bits are the bucket
+    ranked = ranked.withColumn("place", F.floor(F.col("rank") / (1 + F.col("rank")) * (1 << BITS)).cast("long"))
+    ranked = ranked.withColumn("b", F.shiftright("place", BITS - BUCKETS.bit_length() + 1))
+    sums = stash(
+        ranked.groupBy("s", "b").agg(
+            F.sum(F.when(F.col("rank").isNotNull(), F.col("size")).otherwise(0)).alias("size"),
+            F.sum(F.col("size") * F.col("copies")).alias("certain"), F.first("target").alias("target"),
+        ),
+        "rank-sums",
+    )
+    rest = sums.groupBy("s").agg((F.first("target") - F.sum("certain")).alias("rest")).withColumnRenamed("s", "rs")
+
+    by_rank = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     cut = (
-        sums.withColumn("before", F.coalesce(F.sum("size").over(by_rank), F.lit(0)))
-        .join(plan.withColumnRenamed("source", "s"), F.expr("source <=> s"))
+        sums.where("b is not null")
+        .withColumn("before", F.coalesce(F.sum("size").over(by_rank), F.lit(0)))
+        .join(rest, F.expr("s <=> rs"))
         .where("before < rest and rest <= before + size")
-        .select(F.col("source").alias("cs"), F.col("b").alias("cb"), F.col("before").alias("base"))
+        .select(F.col("s").alias("cs"), F.col("b").alias("cb"), F.col("before").alias("base"))
     )
-    plan = stash(plan.join(cut, F.expr("source <=> cs"), "left").drop("cs").withColumnRenamed("source", "s"), "cuts")
-    # Sources are names of a catalogue: as few rows as sources, broadcast by Spark itself where they are small.
-    marked = rows.withColumn("b", bucket).join(plan, F.expr("source <=> s"))
-    inside = Window.partitionBy("source").orderBy("x", "id").rowsBetween(Window.unboundedPreceding, -1)
+    cuts = stash(rest.join(cut, F.expr("rs <=> cs"), "left").drop("cs"), "cuts")
+    marked = ranked.join(cuts, F.expr("s <=> rs")).drop("rs", "liking", "mass", "expected", "part", "rank")
+    inside = Window.partitionBy("source").orderBy("place", "x", "id").rowsBetween(Window.unboundedPreceding, -1)
     edge = marked.where("b = cb").withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     edge = edge.withColumn("more", F.expr("2 * before + size < 2 * rest"))
-    clear = marked.where("cb is null or b <> cb").withColumns({
-        "before": F.lit(None).cast("long"), "more": F.expr("coalesce(b < cb, false)"),
+    # a source whose sample is all of its ranked documents has no cut
+    clear = marked.where("b is null or cb is null or b <> cb").withColumns({
+        "before": F.lit(None).cast("long"), "more": F.expr("b is not null and rest > 0 and (cb is null or b < cb)"),
     })
     drawn = stash(clear.union(edge.select(*clear.columns)), "drawn")
 
@@ -107,7 +127,7 @@ def pareto_mixture(
     gap = drawn.groupBy("s").agg(
         (F.first("rest") - F.sum(F.when(F.col("more"), F.col("size")).otherwise(0))).alias("gap")
     ).withColumnRenamed("s", "gs")
-    near = drawn.where("size > 0 and rest > 0").join(gap, F.expr("s <=> gs")).where("(gap > 0) = (not more)")
+    near = drawn.where("size > 0 and rest > 0 and b is not null").join(gap, F.expr("s <=> gs")).where("(gap > 0) = (not more)")
     near = near.withColumn("off", F.abs(F.col("size") - F.abs("gap"))).where("off < abs(gap)")
     near = near.groupBy("s").agg(F.min(F.struct("off", "x", "id")).alias("near"))
     near = near.select(F.col("s").alias("ns"), F.col("near.x").alias("nx"), F.col("near.id").alias("nid"))
@@ -137,14 +157,16 @@ f AS (SELECT *, (total - held) * w <= 3 * source_size * open AS fits FROM h),
 t AS (SELECT source, source_size,
              CASE WHEN fits THEN CAST(total - min(held) FILTER (fits) OVER () AS DOUBLE) * w / max(open) FILTER (fits) OVER ()
                   ELSE CAST(3 * source_size AS DOUBLE) END AS target FROM f),
-p AS (SELECT *, target - copies * source_size AS rest
-      FROM (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS copies FROM t)),
-o AS (SELECT d.*, source_size, target, copies, rest,
-             CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY x, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
-      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-m AS (SELECT *, rest > 0 AND 2 * before + size < 2 * rest AS more FROM o),
+e AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN least(target * 1.0::DOUBLE / source_size::DOUBLE, 3) ELSE 0 END AS expected
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, CAST(floor(expected) AS BIGINT) AS copies, expected - floor(expected) AS part, (x + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM e),
+q AS (SELECT *, CASE WHEN part > 0 THEN (u / (1 - u)) / (part / (1 - part)) END AS rank,
+             target - sum(size * copies) OVER (PARTITION BY source) AS rest FROM p),
+o AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source, rank IS NULL ORDER BY floor(rank / (1 + rank) * 4503599627370496), x, doc_id
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM q),
+m AS (SELECT *, rank IS NOT NULL AND rest > 0 AND 2 * before + size < 2 * rest AS more FROM o),
 g AS (SELECT *, rest - sum(CASE WHEN more THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM m),
-n AS (SELECT *, size > 0 AND rest > 0 AND (gap > 0) = (NOT more) AND abs(size - abs(gap)) < abs(gap) AS able FROM g),
+n AS (SELECT *, size > 0 AND rest > 0 AND rank IS NOT NULL AND (gap > 0) = (NOT more) AND abs(size - abs(gap)) < abs(gap) AS able FROM g),
 c AS (SELECT *, able AND row_number() OVER (PARTITION BY source, able ORDER BY abs(size - abs(gap)), x, doc_id) = 1 AS change FROM n)
 SELECT doc_id, size, source_size, target, CAST(size * (copies + CAST(more <> change AS BIGINT)) AS BIGINT) AS taken FROM c
 """
