@@ -85,7 +85,7 @@ class ItemIndex:
                 at = np.searchsorted(self.terms, own)
                 score = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words[i]) / mean))
                 self.impact[at, i] = score / (least * score.sum())
-        blocks = self.impact.reshape(len(self.terms), -1, BLOCK)
+        blocks = self.impact.reshape(len(self.terms), self.impact.shape[1] // BLOCK, BLOCK)
         self.block = blocks.max(2)
         self.most = self.impact.max(1, initial=0)
 
