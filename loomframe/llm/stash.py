@@ -8,12 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: Folders of sessions without the setting, by application.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one is set only where the setting is absent (tests, one machine)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in ``spark.checkpoint.dir``; a temporary one only where the setting is absent (tests, one machine)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="loomframe-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="loomframe-checkpoint-")
+        found = _own[app]
     return found.rstrip("/")
 
 
