@@ -46,7 +46,7 @@ class ClassificationModel:
 
     def evaluate(self, data: Frame, labels: Series) -> dict:
         """Counts, accuracy, precision, recall, and the rates of true and false positives; nan where nothing divides."""
-        rows = self._predicted(data.add_column(labels, LABEL)).select(F.col("prediction") == 1, F.col(LABEL) == 1).toDF("p", "y")
+        rows = self._predicted(data.add_column(labels, LABEL)).select(F.col("prediction") == 1, F.col(LABEL).cast("double") == 1).toDF("p", "y")
         c = rows.agg(*(F.count_if((F.col("p") == p) & (F.col("y") == y)).alias(n) for n, p, y in (("tp", True, True), ("fp", True, False), ("fn", False, True), ("tn", False, False)))).first().asDict()
         share = lambda a, b: a / b if b else float("nan")
         total = sum(c.values())

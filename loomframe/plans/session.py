@@ -38,5 +38,25 @@ def session(given: dict | None = None, path: str | None = None) -> SparkSession:
     return SparkSession.builder.config(map=settings(path, given)).getOrCreate()
 
 
+def spark_context():
+    return session().sparkContext
+
+
+def config() -> dict[str, str]:
+    """All settings of the running session."""
+    return dict(session().conf.getAll)
+
+
+def jobs() -> dict[int, str]:
+    """Active jobs and the names of their groups; to be called from another thread than the one that runs them."""
+    tracker = spark_context().statusTracker()
+    return {j: str(tracker.getJobInfo(j).status) for j in tracker.getActiveJobsIds()}
+
+
+def ship_code(path: str) -> None:
+    """Send a Python file, zip or egg to the executors."""
+    spark_context().addPyFile(path)
+
+
 def version() -> str:
     return VERSION

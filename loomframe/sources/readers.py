@@ -36,6 +36,16 @@ def is_directory(spark: SparkSession, path: str) -> bool:
     return bool(fs.getFileStatus(where).isDirectory())
 
 
+def small_text(spark: SparkSession, path: str) -> str:
+    """A small file's text; Spark's own readers pass over names that begin with an underscore."""
+    fs, where = file_system(spark, path)
+    stream = fs.open(where)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def text_lines(spark: SparkSession, path: str, delimiter: str | None = None, nrows: int | None = None) -> DataFrame:
     """One column ``text``; with a delimiter, records end there, and line ends within them become spaces."""
     lines = spark.read.text(path, lineSep=delimiter) if delimiter else spark.read.text(path)
@@ -140,7 +150,7 @@ def load_frame(path: str):
         raise ValueError(f"no such path: {path}")
     df = spark.read.parquet(path)
     side = f"{path.rstrip('/')}/{SIDECAR}"
-    lineage = Lineage.from_json(spark.read.text(side, wholetext=True).first()[0]) if exists(spark, side) else Lineage.of(path, df.columns)
+    lineage = Lineage.from_json(small_text(spark, side)) if exists(spark, side) else Lineage.of(path, df.columns)
     return Frame.of(df, lineage)
 
 

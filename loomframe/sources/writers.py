@@ -32,7 +32,7 @@ def save_frame(frame, path: str, format: str | None = None) -> None:
         path = f"{path}.{format}"
     if format == "csv":
         flat = frame.df.select(*(F.to_json(F.col(quoted(f.name))).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(quoted(f.name)) for f in frame.df.schema))
-        _one_file(flat, path, lambda w, p: w.csv(p, header=True, timestampNTZFormat="yyyy-MM-dd HH:mm:ss"))
+        _one_file(flat, path, lambda w, p: w.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(p, header=True))
     elif format == "parquet":
         save_parquet(frame, path)
     elif format == "binary":

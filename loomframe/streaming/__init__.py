@@ -1 +1 @@
-
+"""Frames have no streaming operators of their own; ``Frame.sql`` and DataFrames reach Structured Streaming."""

@@ -80,3 +80,25 @@ def test_models(tmp_path):
     rec = ml.create_recommender(r, "u", "i", "r", rank=2, iterations=2)
     top = {(a, b) for a, b, _ in rec.recommend_top_k(2).head_as_list(9)}
     assert top and not top & {(1, 1), (1, 2), (2, 1), (2, 3), (3, 2)}
+
+
+def test_files(tmp_path):
+    from loomframe.sources import files
+
+    path = str(tmp_path / "a" / "b.txt")
+    files.make_dir(str(tmp_path / "a"))
+    files.write_bytes(path, "één".encode())
+    assert files.exists(path) and files.is_file(path) and files.is_dir(str(tmp_path / "a")) and files.list_dir(str(tmp_path / "a"))[-1] == "b.txt"
+    assert files.length(path) == 5 and files.open_file(path).read() == "één" and files.modified(path) > 0
+    files.rename(path, path + "2")
+    assert not files.exists(path) and files.delete(path + "2")
+
+
+def test_session(tmp_path):
+    from loomframe.plans import session as s
+
+    ini = tmp_path / "c.ini"
+    ini.write_text("[spark]\nexecutor.memory = 2g\nspark.sql.shuffle.partitions = 7\n")
+    got = s.settings(str(ini), {"spark.app.name": "x"})
+    assert got["spark.executor.memory"] == "2g" and got["spark.sql.shuffle.partitions"] == "7" and got["spark.app.name"] == "x"
+    assert s.version() and s.config() and s.jobs() == {} and s.spark_context() is not None
