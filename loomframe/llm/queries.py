@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, found, mixing, personal_data, secret_scan
+from . import exact_dedup, found, mixing, ngram_join, personal_data, secret_scan
 from .context_tree import context_tree_scores
 from .decontaminate import benchmark_leaks
 from .exact_dedup import content_sort_dedup
@@ -85,4 +85,8 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {"op6_pareto_mixture": mixing.ORACLE, "op9_content_sort_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": ngram_join.ORACLE,
+    "op6_pareto_mixture": mixing.ORACLE,
+    "op9_content_sort_dedup": exact_dedup.ORACLE,
+}
