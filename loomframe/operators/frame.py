@@ -18,7 +18,7 @@ from ..functions.types import MOMENT, NUMERIC, classify_all, fit, infer, spark_t
 from ..plans.lineage import COUNT, DATAFRAME, EMPTY, HIVE, INDEX, PANDAS, PROGRAM, RDD, Lineage
 from ..plans.order import POSITION, aligned, fresh, quoted, with_position
 from ..plans.session import session
-from .series import VALUE, Series, native, sliced
+from .series import Series, native, sliced
 
 
 def col(name: str) -> Column:
@@ -669,7 +669,7 @@ class Frame:
         return Frame.of(made.select(*(F.col("__row")[f"c{i}"].alias(n) for i, n in enumerate(names))), lineage)
 
     def detect_type(self, column_name: str) -> type:
-        """The type that all cells of a text column read as; a full scan for each candidate, in one job."""
+        """The type that all cells of a text column read as: one scan, of which only the distinct types reach the driver."""
         self._check([column_name])
         c = col(column_name)
         if not isinstance(self.df.schema[column_name].dataType, T.StringType):

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, types as T
 
 from ..functions.missing import missing
-from ..functions.types import NUMERIC, infer, spark_type
-from ..plans.lineage import Lineage
+from ..functions.types import NUMERIC, spark_type
 from ..plans.order import fresh, quoted
 from .frame import Frame
 from .series import Series

@@ -9,12 +9,12 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.missing import missing, truthy
 from ..functions.types import FLOATING, MOMENT, NUMERIC, classify_all, fit, infer, parse_moment, spark_type, tag, text_cast
 from ..plans.lineage import CONST, PROGRAM, RANGE, Lineage
-from ..plans.order import POSITION, aligned, quoted, with_position
+from ..plans.order import POSITION, aligned, with_position
 from ..plans.session import session
 
 VALUE = "value"

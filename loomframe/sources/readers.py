@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.types import classify_all, infer, parse_literal, spark_type, text_cast
 from ..plans.lineage import Lineage
-from ..plans.order import quoted
 from ..plans.session import session
 
 SAMPLE = 100
