@@ -207,12 +207,13 @@ def jaccard_groups(
     # In each fragment of the order, keep the prefix shingles that a second class has there too.
     rows = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
     bits = max(6, int(rows // FRAGMENT_ROWS).bit_length())
-    tokens = classes.select("c", "n", F.size("prefix").alias("p"), F.posexplode("prefix").alias("at", "token"))
+    tokens = classes.select("c", F.posexplode("prefix").alias("at", "token"))
     near = Window.partitionBy(F.shiftrightunsigned("token", 64 - bits)).orderBy("token")
     shared = (
         tokens.withColumns({"before": F.lag("token").over(near), "after": F.lead("token").over(near)})
         .where("token = before or token = after")
-        .select("token", "c", "n", "p", "at")
+        .select("token", "c", "at")
+        .join(classes.select("c", "n", F.size("prefix").alias("p")), "c")
     )
     # left: what a class can share at most with one that it first meets in this shingle. Of its n shingles, those of the
     # prefix that nobody else has there are out, and so are the shared ones that stand before this one.
