@@ -122,7 +122,7 @@ def test_joins():
     assert rows(left.join(right, how="right")) == [(1, "a", "aa"), (2, "b", "bb"), (4, None, "dd")]
     assert rows(left.join(right, how="full")) == [(1, "a", "aa"), (2, "b", "bb"), (3, "c", None), (4, None, "dd")]
     cross = left.join(right, how="cartesian")
-    assert len(cross) == 9 and cross.column_names() == ["id", "val", "id.1", "doubled"]
+    assert len(cross) == 9 and cross.column_names() == ["id", "val", "doubled", "id.1"]
     assert left.join(Frame({"id": [1], "val": ["z"]}), on="id").column_names() == ["id", "val", "val.1"]
     assert rows(left.join(right.rename({"id": "key"}), on={"id": "key"})) == [(1, "a", "aa"), (2, "b", "bb")]
     a = Frame({"k": [1, None], "x": [1, 2]})
