@@ -33,6 +33,8 @@ DEPTH = 4
 #: Bytes of text of one block; a longer text is a block of its own.
 BLOCK = 1 << 25
 END_BYTE, END_WORD = 0xFF, -1
+#: Keys of chunks (16 bytes each) that a task gathers before it sums them.
+PENDING = 1_000_000
 
 
 def grams(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +102,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(np.full(len(k), block)), pa.array(k), pa.array(n[at : at + 50_000])], names=["block", "key", "n"]
             )
 
-    block, found = None, []
+    block, found, limit = None, [], PENDING
     for batch in batches:
         held = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
         numbers = batch.column(2).to_numpy()
@@ -110,15 +112,16 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if block is not None and numbers[a] != block:
                 yield from emit(block, found)
-                found = []
+                found, limit = [], PENDING
             block = numbers[a]
             for row, end, off, data in chunks(batch.column(0).slice(a, b - a)):
                 train = ~held[a + row : a + end]
                 for keys, owner in (grams(off, data), word_keys(off, data)):
                     found += _tally(keys, train[owner])
                 found.append((np.array([END_WORD]), np.array([train.sum()])))
-            if len(found) > 200:
-                found = [_summed(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))]
+                if sum(len(f[0]) for f in found) > limit:
+                    found = [_summed(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))]
+                    limit = PENDING + 2 * len(found[0][0])
     if found:
         yield from emit(block, found)
 
