@@ -9,8 +9,9 @@ How groups of copies stay cheap, without dropping a link:
 * equal sets are one class before anything is joined, so thousands of exact copies are one vertex;
 * a pair above the threshold shares a shingle among the first ``n - ceil(t n) + 1`` of either set, in any global order,
   so only prefixes are exchanged, and frequent shingles stand last and rarely reach them;
-* a prefix shingle that no second class has bounds what its document can share, and so does each one that stands before
-  the first common one; the bound discards pairs that share boilerplate alone before they are made;
+* a prefix shingle that no second class has in its prefix bounds what its document can share with one whose prefix ends
+  later in the order, and each one that stands before the first common one bounds it for both; the bounds discard pairs
+  that share boilerplate alone before they are made;
 * in a posting list of over ``hot`` classes, the members are first compared to the list's most central member. Only
   members that this leaves in different components are compared with each other: a link inside a component changes
   nothing in the result.
@@ -33,6 +34,8 @@ FREQUENT = 1 << 19
 HOT = 64
 #: Prefix rows of one fragment.
 FRAGMENT_ROWS = 200_000
+#: Places in the order below this are ordinary shingles' (their hash without two bits), the others are frequent ones'.
+_ORDINARY = 1 << 62
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -59,16 +62,17 @@ def _frequent(docs: DataFrame, text: str, size: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """For each row: the set's size, two 64-bit signatures of the set, and its prefix in the global order.
+    """For each row: the set's size, two 64-bit signatures of the set, its prefix in the global order, and where that ends.
 
-    frequent: the frequent shingles from the rarest on.
+    frequent: the frequent shingles from the rarest on. A prefix that ends earlier in the order never has the larger
+    ``last``; two ends may have the same.
     """
     by_hash = np.argsort(frequent, kind="stable")
     known = frequent[by_hash]
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, one, two, ends, heads = [], [], [], [0], []
+            n, one, two, ends, heads, lasts = [], [], [], [0], [], []
             for _, hashes in shingle_sets(batch.column(1), size):
                 n.append(len(hashes))
                 for signature, column in zip(_signatures(hashes), (one, two), strict=True):
@@ -80,9 +84,14 @@ def _prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, fre
                     last = known[at] == hashes
                     head = hashes[~last][:k]
                     if len(head) < k:
-                        head = np.concatenate([head, frequent[np.sort(by_hash[at[last]])[: k - len(head)]]])
+                        ranks = np.sort(by_hash[at[last]])[: k - len(head)]
+                        head = np.concatenate([head, frequent[ranks]])
+                        lasts.append(_ORDINARY + int(ranks[-1]))
+                    else:
+                        lasts.append(int(head[-1]) >> 2)
                 else:
                     head = hashes[:k]
+                    lasts.append(int(head[-1]) >> 2 if k else 0)
                 heads.append(head)
                 ends.append(ends[-1] + len(head))
             heads = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
@@ -93,13 +102,14 @@ def _prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, fre
                     _signed(np.array(one, np.uint64)),
                     _signed(np.array(two, np.uint64)),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(heads)),
+                    pa.array(lasts, pa.int64()),
                 ],
-                names=["id", "n", "s1", "s2", "prefix"],
+                names=["id", "n", "s1", "s2", "prefix", "last"],
             )
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("id"), text).mapInArrow(
-        prefix, f"id {kind}, n long, s1 long, s2 long, prefix array<long>"
+        prefix, f"id {kind}, n long, s1 long, s2 long, prefix array<long>, last long"
     )
 
 
@@ -170,9 +180,17 @@ def _least(percent: int):
 
 
 def _fit(percent: int):
-    """Condition on the rows x and y of a posting list: sizes and what can be shared at most leave the pair possible."""
+    """Condition on the rows x and y of a posting list: sizes and what can be shared at most leave the pair possible.
+
+    It holds for every similar pair in the first shingle that their prefixes share; later ones may reject it. ``room``
+    bounds both sides there. ``left`` bounds the side whose prefix ends first: what it shares up to that end is in the
+    other prefix too. The other side may share shingles of its prefix that stand beyond that end and that nobody else's
+    prefix has.
+    """
     sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    return (F.least("x.left", "y.left") >= _least(percent)) & sizes
+    first = F.when(F.col("x.last") < F.col("y.last"), F.col("x.left")).when(F.col("x.last") > F.col("y.last"), F.col("y.left"))
+    left = F.coalesce(first, F.greatest("x.left", "y.left"))
+    return (F.least("x.room", "y.room") >= _least(percent)) & (left >= _least(percent)) & sizes
 
 
 def jaccard_groups(
@@ -199,7 +217,7 @@ def jaccard_groups(
     classes = stash(
         sets.where("n > 0")
         .groupBy("s1", "s2", "n")
-        .agg(F.min("id").alias("id"), F.first("prefix").alias("prefix"))  # equal sets have equal prefixes
+        .agg(F.min("id").alias("id"), F.first("prefix").alias("prefix"), F.first("last").alias("last"))  # equal sets have equal prefixes
         .withColumn("c", F.monotonically_increasing_id()),
         "classes",
     )
@@ -213,13 +231,14 @@ def jaccard_groups(
         tokens.withColumns({"before": F.lag("token").over(near), "after": F.lead("token").over(near)})
         .where("token = before or token = after")
         .select("token", "c", "at")
-        .join(classes.select("c", "n", F.size("prefix").alias("p")), "c")
+        .join(classes.select("c", "n", F.size("prefix").alias("p"), "last"), "c")
     )
-    # left: what a class can share at most with one that it first meets in this shingle. Of its n shingles, those of the
-    # prefix that nobody else has there are out, and so are the shared ones that stand before this one.
+    # room: what a class can share at most with one that it first meets in this shingle; its shingles before it are out.
+    # left: the same if the other's prefix ends later. Then the shingles of the prefix that no other prefix has are out too.
     of_class = Window.partitionBy("c")
     left = F.col("n") - F.col("p") + F.count(F.lit(1)).over(of_class) - F.row_number().over(of_class.orderBy("at")) + 1
-    postings = shared.withColumn("left", left).where(F.col("left") * 100 >= F.col("n") * percent).drop("at")
+    postings = shared.withColumns({"left": left, "room": F.col("n") - F.col("at")}).drop("at")
+    postings = postings.where(F.col("room") * 100 >= F.col("n") * percent)
     postings = stash(postings, "postings")
     lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     postings = stash(postings.join(lists, "token"), "lists")
@@ -230,8 +249,8 @@ def jaccard_groups(
         .select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
     )
     busy = postings.where(F.col("m") > hot)
-    centre = busy.groupBy("token").agg(F.min(F.struct(1 - F.col("left") / F.col("n"), "c", "n", "left")).alias("x"))
-    centre = centre.select("token", F.col("x.c").alias("c"), F.col("x.n").alias("n"), F.col("x.left").alias("left"))
+    centre = busy.groupBy("token").agg(F.min(F.struct(1 - F.col("left") / F.col("n"), "c", "n", "left", "room", "last")).alias("x"))
+    centre = centre.select("token", *(F.col(f"x.{k}").alias(k) for k in ("c", "n", "left", "room", "last")))
     to_centre = (
         busy.alias("y").join(centre.alias("x"), F.expr("x.token = y.token and x.c <> y.c") & _fit(percent))
         .select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b"))

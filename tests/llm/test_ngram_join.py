@@ -67,6 +67,33 @@ def test_equals_all_pairs(spark, seed, hot):
     assert sorted(map(tuple, got.collect())) == plain_groups(docs)
 
 
+def grown(seed, groups=40):
+    """Small groups: a text, and it with words appended, put in front or cut off, at a similarity from 0.75 to 0.85."""
+    draw = random.Random(seed)
+    new = lambda n: [f"w{draw.randrange(10**9)}" for _ in range(n)]
+    docs = []
+    for _ in range(groups):
+        n = draw.randrange(60, 130)
+        words = new(n + 4)
+        docs.append(words)
+        more = round(n / draw.uniform(0.75, 0.85)) - n
+        docs.append(draw.choice([words + new(more), new(more) + words, words[: n + 4 - round(n * draw.uniform(0.15, 0.25))]]))
+    words = new(94)
+    docs += [words, words + new(30)]  # exactly 90 / 120
+    docs = [" ".join(d) for d in docs]
+    draw.shuffle(docs)
+    return list(enumerate(docs))
+
+
+@pytest.mark.parametrize("hot", [2, 64])
+def test_no_link_of_a_text_within_another_is_lost(spark, hot):
+    docs = [(i + 1000 * seed, t) for seed in range(5) for i, t in grown(seed)]
+    got = jaccard_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), hot=hot)
+    want = plain_groups(docs)
+    assert len({c for _, _, c in want}) < 0.6 * len(want)
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_nulls_repeats_clashes_and_empty(spark):
     docs = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A b c d e f"), (None, None)]
     frame = spark.createDataFrame([(i, t, "x", 7) for i, t in docs], "doc_id long, text string, component_id string, id int")
