@@ -496,3 +496,12 @@ def q81_select_one(t):
 def q82_random_split(t):
     a, b = t.orders.random_split(0.3, seed=5)
     return reduced(t, n=t.orders.num_rows(), both_parts=a.num_rows() + b.num_rows())
+
+
+@query(f"""WITH w AS (SELECT doc, word, count(*) AS n FROM ({_WORDS}) WHERE word <> '' GROUP BY 1, 2),
+ m AS (SELECT doc, max(n) AS most FROM w GROUP BY 1), c AS (SELECT word, sum(n) AS total FROM w GROUP BY 1)
+ SELECT w.doc, w.word, round((0.5 + 0.5 * n / most) * ln(((SELECT count(*) FROM documents) + 1.0) / (total + 1)), 6) AS tf_idf
+ FROM w JOIN m ON w.doc = m.doc JOIN c ON w.word = c.word""")
+def q83_tf_idf_all_words(t):
+    docs = t.documents.df.select("doc_id", words(F.regexp_replace("text", r"^\s+|\s+$", "")).alias("items"))
+    return tf_idf_rows(docs, "doc_id", "items").withColumn("tf_idf", F.round("tf_idf", 6))

@@ -1,4 +1,6 @@
+import math
 import os
+from collections import Counter
 
 import duckdb
 import pytest
@@ -49,3 +51,19 @@ def test_every_query_of_the_entry_point_can_be_read(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() == 20
+
+
+def test_tf_idf_gives_every_word_of_every_document(spark, tmp_path):
+    from loomframe.plans import catalogue
+
+    docs = [(1, "The cat  sat on the mat"), (2, " la la land\n"), (3, "the cat"), (4, ""), (5, None), (6, "Cat")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    counts = {i: Counter((t or "").lower().split()) for i, t in docs}
+    total = sum(counts.values(), Counter())
+    want = {
+        (i, w): round((0.5 + 0.5 * n / max(c.values())) * math.log((len(docs) + 1) / (total[w] + 1)), 5)
+        for i, c in counts.items() for w, n in c.items()
+    }
+    got = catalogue.QUERIES["q83_tf_idf_all_words"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want)
+    assert {(r["doc"], r["word"]): r["tf_idf"] for r in got} == pytest.approx(want, abs=1e-5)
