@@ -11,6 +11,15 @@ from ..functions.types import MOMENT, NUMERIC
 from .series import VALUE, Series
 
 
+def _as_kind(value, kind):
+    """Whole numbers in a list or dict as floats where the type wants floats."""
+    if isinstance(kind, T.ArrayType) and isinstance(value, (list, tuple)):
+        return [_as_kind(v, kind.elementType) for v in value]
+    if isinstance(kind, T.MapType) and isinstance(value, dict):
+        return {_as_kind(k, kind.keyType): _as_kind(v, kind.valueType) for k, v in value.items()}
+    return float(value) if isinstance(kind, (T.DoubleType, T.FloatType)) and type(value) is int else value
+
+
 class Sketch:
     """Undefined values (null, NaN, infinite) are counted and left out of everything else."""
 
@@ -95,11 +104,17 @@ class Sketch:
         """Exact; missing counts as a value."""
         return self._unique
 
+    def _canonical(self):
+        """A list or dict as JSON; a dict's entries in one order."""
+        c = F.col(VALUE)
+        if isinstance(self.kind, T.MapType):
+            c = F.array_sort(F.transform(F.map_entries(c), lambda e: F.to_json(e)))
+        return F.to_json(F.struct(c.alias(VALUE)))
+
     @cached_property
     def _frequent(self) -> dict:
         if isinstance(self.kind, (T.ArrayType, T.MapType)):
-            key = F.to_json(F.struct(VALUE))
-            rows = self._defined.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.first(VALUE).alias("v"))
+            rows = self._defined.groupBy(self._canonical().alias("k")).agg(F.count(F.lit(1)).alias("n"), F.first(VALUE).alias("v"))
             got = rows.orderBy(F.desc("n"), "k").limit(self.items).collect()
             return {str(r["v"]): r["n"] for r in got}
         rows = self._defined.groupBy(VALUE).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), VALUE).limit(self.items)
@@ -111,7 +126,12 @@ class Sketch:
 
     def frequency_count(self, element) -> int:
         if isinstance(self.kind, (T.ArrayType, T.MapType)):
-            return self._frequent.get(str(element), 0)
+            schema = T.StructType([T.StructField(VALUE, self.kind)])
+            try:
+                one = self.series.df.sparkSession.createDataFrame([(_as_kind(element, self.kind),)], schema)
+            except (TypeError, ValueError):  # not a value of this type
+                return 0
+            return self._defined.where(self._canonical() == F.lit(one.select(self._canonical()).first()[0])).count()
         return self._defined.where(F.col(VALUE) == F.lit(element)).count()
 
     def quantile(self, quantile_val: float):

@@ -107,3 +107,14 @@ def test_text_and_sketch():
     with pytest.raises(ValueError):
         Series(["a"]).sketch_summary().max()
     assert Series([None], dtype=int).sketch_summary().size() == 0
+
+
+def test_frequency_count_of_lists_and_dicts_beyond_the_frequent_items():
+    lists = Series([[i % 700, 1] for i in range(1400)] + [[0, 1]]).sketch_summary()
+    assert len(lists.frequent_items()) == 500
+    assert [lists.frequency_count([i, 1]) for i in (0, 1, 698, 699, 700)] == [3, 2, 2, 2, 0]
+    assert lists.frequency_count(["a"]) == 0 and lists.frequency_count([1]) == 0
+    assert Series([[1.0, 2.5], [1.0]]).sketch_summary().frequency_count([1]) == 1
+    dicts = Series([{"a": i, "b": 1} for i in range(600)] + [{"b": 1, "a": 599}]).sketch_summary()
+    assert dicts.frequency_count({"b": 1, "a": 599}) == 2 and dicts.frequency_count({"a": 598, "b": 1}) == 1
+    assert dicts.frequency_count({"a": 598}) == 0
