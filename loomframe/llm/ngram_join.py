@@ -13,8 +13,11 @@ How groups of copies stay cheap, without dropping a link:
   later in the order, and each one that stands before the first common one bounds it for both; the bounds discard pairs
   that share boilerplate alone before they are made;
 * in a posting list of over ``hot`` classes, the members are first compared to the list's most central member. Only
-  members that this leaves in different components are compared with each other: a link inside a component changes
-  nothing in the result.
+  members that this leaves in different components are compared with each other, in blocks of bounded size that are dealt
+  over the tasks: a link inside a component changes nothing in the result.
+
+Texts are exchanged only for the classes of candidate pairs: a Bloom filter of bounded size drops the others before the
+exchange, and what it lets pass by mistake is dropped by the join that follows.
 """
 
 from __future__ import annotations
@@ -25,15 +28,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .stash import connected_components, stash
+from .stash import Scratch, connected_components
 from .words import chunks, mix, shingle_hashes, shingle_sets, spans, word_hashes
 
 #: At most so many frequent shingles are told to every task (16 bytes each); others only lose the benefit of standing last.
 FREQUENT = 1 << 19
 #: A shingle counts as frequent from this many classes on; posting lists above it are joined through their centre first.
 HOT = 64
-#: Prefix rows of one fragment.
-FRAGMENT_ROWS = 200_000
+#: Leading bits of a shingle that name its fragment of the order when prefixes are exchanged.
+FRAGMENT_BITS = 16
+#: Members of a hot list in one block of those that are compared with all others.
+BLOCK = 4096
+#: Bits of the Bloom filter over the rows whose texts are needed, at most: 16 MB, told to every task.
+BLOOM_BITS = 27
 #: Places in the order below this are ordinary shingles' (their hash without two bits), the others are frequent ones'.
 _ORDINARY = 1 << 62
 
@@ -62,7 +69,7 @@ def _frequent(docs: DataFrame, text: str, size: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """For each row: the set's size, two 64-bit signatures of the set, its prefix in the global order, and where that ends.
+    """For each row: its hash, the set's size, two 64-bit signatures of the set, its prefix in the global order, and where that ends.
 
     frequent: the frequent shingles from the rarest on. A prefix that ends earlier in the order never has the larger
     ``last``; two ends may have the same.
@@ -98,21 +105,51 @@ def _prefixes(docs: DataFrame, key: str, text: str, size: int, percent: int, fre
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array(n, pa.int64()),
                     _signed(np.array(one, np.uint64)),
                     _signed(np.array(two, np.uint64)),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(heads)),
                     pa.array(lasts, pa.int64()),
                 ],
-                names=["id", "n", "s1", "s2", "prefix", "last"],
+                names=["id", "h", "n", "s1", "s2", "prefix", "last"],
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("id"), text).mapInArrow(
-        prefix, f"id {kind}, n long, s1 long, s2 long, prefix array<long>, last long"
+    return docs.select(F.col(key).alias("id"), text, _row_hash(key, text)).mapInArrow(
+        prefix, f"id {kind}, h long, n long, s1 long, s2 long, prefix array<long>, last long"
     )
 
 
+def _row_hash(key: str, text: str):
+    """A hash of a row: rows that repeat have one."""
+    return F.xxhash64(key, text).alias("h")
+
+
+def _repeated(tokens: DataFrame) -> DataFrame:
+    """The rows (token, c, at) whose token stands in another row of its fragment too: equal neighbours of an external sort."""
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None  # the last token, and its row as long as no equal one was seen
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token = batch.column(0).to_numpy()
+            same = np.zeros(len(token) + 1, bool)
+            same[1:-1] = token[1:] == token[:-1]
+            same[0] = last is not None and token[0] == last
+            if same[0] and held is not None:
+                yield held
+            keep = same[:-1] | same[1:]
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+            last, held = token[-1], None if keep[-1] else batch.slice(len(token) - 1)
+
+    fragment = F.shiftrightunsigned("token", 64 - FRAGMENT_BITS)
+    rows = tokens.select("token", "c", "at").repartition(fragment).sortWithinPartitions("token")
+    return rows.mapInArrow(neighbours, "token long, c long, at int")
+
+
 def _signatures(hashes: np.ndarray) -> tuple[np.uint64, np.uint64]:
     """Two independent 64-bit signatures of a set, whatever its order."""
     if not len(hashes):
@@ -153,25 +190,45 @@ def _segments(rows: DataFrame, size: int, fragments: int) -> DataFrame:
     return rows.select("c", "s1", "s2", "text").mapInArrow(cut, "c long, fragment int, tokens array<long>")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int, fragments: int) -> DataFrame:
+def _perhaps(rows: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
+    """The rows that may be among ``wanted`` by the key ``on``: all that are, and few others, before anything is exchanged.
+
+    A Bloom filter of up to 2^BLOOM_BITS bits; with more rows wanted than that, more rows pass in vain, which costs bytes only.
+    """
+    bits = min(BLOOM_BITS, max(16, (16 * wanted.count()).bit_length()))
+    slot = F.xxhash64(on).bitwiseAND((1 << bits) - 1)
+    part, place = F.shiftright(slot, 15), slot.bitwiseAND((1 << 15) - 1)
+    filled = wanted.select(part.alias("part"), place.alias("place")).groupBy("part").agg(F.bitmap_construct_agg("place").alias("bits"))
+    # at most 2^BLOOM_BITS / 2^15 rows of 4 KB
+    found = rows.withColumns({"part": part, "place": place}).join(F.broadcast(filled), "part")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(shiftright(place, 3) as int) + 1, 1)")), 16, 10).cast("int")
+    there = F.call_function("shiftright", byte, F.col("place").bitwiseAND(7).cast("int")).bitwiseAND(1) == 1
+    return found.where(there).select(*rows.columns)
+
+
+def _verified(
+    pairs: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int, fragments: int, scratch: Scratch, name: str
+) -> DataFrame:
     """The pairs (a, b) that are similar enough: overlaps counted in each fragment, then summed per pair."""
     wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    wanted = wanted.join(classes.select("c", "id", "s1", "s2"), "c")
-    segments = stash(_segments(texts.join(wanted, "id"), size, fragments), "segments")
+    wanted = scratch.put(classes.select("c", "h", "s1", "s2").join(wanted.hint("merge"), "c"), f"{name}-wanted")
+    # rows that repeat are taken once
+    rows = _perhaps(texts, wanted, "h").groupBy("h").agg(F.first("text").alias("text")).join(wanted.hint("merge"), "h")
+    segments = scratch.put(_segments(rows, size, fragments), f"{name}-segments")
     cut = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(fragments - 1))))
     left = segments.select(F.col("c").alias("a"), "fragment", F.col("tokens").alias("x"))
     right = segments.select(F.col("c").alias("b"), "fragment", F.col("tokens").alias("y"))
     partial = (
-        cut.join(left, ["a", "fragment"])
-        .join(right, ["b", "fragment"])
-        .select("a", "b", "fragment", F.size(F.array_intersect("x", "y")).alias("shared"))
-        .groupBy("a", "b", "fragment")
-        .agg(F.max("shared").alias("shared"))  # repeated rows of one document bring equal counts
+        cut.join(left.hint("merge"), ["a", "fragment"])
+        .join(right.hint("merge"), ["b", "fragment"])
+        .select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"))
     )
     total = partial.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
     na, nb = (classes.select(F.col("c").alias(k), F.col("n").alias(f"n{k}")) for k in "ab")
     similar = F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * percent
-    return total.join(na, "a").join(nb, "b").where(similar).select("a", "b")
+    links = scratch.put(total.join(na, "a").join(nb, "b").where(similar).select("a", "b"), f"{name}-links")
+    scratch.drop(f"{name}-wanted", f"{name}-segments")
+    return links
 
 
 def _least(percent: int):
@@ -203,95 +260,110 @@ def jaccard_groups(
     ``size`` words is one shingle.
 
     Defined cases: a null or wordless text has 0 shingles, links with nothing and is its own component; a row with a
-    null key links with nothing but equal sets; repeated rows come back as often as they came; a key on several texts
-    is one vertex for each text; an empty table gives an empty result; other columns of ``docs`` are not looked at.
+    null key links as any other, and its component_id is the smallest key that is not null, or null; repeated rows come
+    back as often as they came; a key on several texts is one vertex for each text; equal texts are one set, so ties make
+    no difference; texts of any length are taken whole; an empty table gives an empty result; other columns of ``docs``
+    are not looked at.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark, "jaccard")
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    hashed = texts.select("text", _row_hash("id", "text"))
     found = (
         _frequent(texts, "text", size).where(F.col("n") >= hot).orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
     )
     frequent = found["token"].to_numpy("int64").view(np.uint64)[::-1].copy()
 
-    sets = stash(_prefixes(texts, "id", "text", size, percent, frequent), "sets")
-    classes = stash(
-        sets.where("n > 0")
+    full = scratch.put(_prefixes(texts, "id", "text", size, percent, frequent), "sets")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h"))
+    classes = scratch.put(
+        full.where("n > 0")
         .groupBy("s1", "s2", "n")
-        .agg(F.min("id").alias("id"), F.first("prefix").alias("prefix"), F.first("last").alias("last"))  # equal sets have equal prefixes
+        .agg(first.alias("first"), F.first("prefix").alias("prefix"), F.first("last").alias("last"))  # equal sets have equal prefixes
+        .select("s1", "s2", "n", "first.*", "prefix", "last")
         .withColumn("c", F.monotonically_increasing_id()),
         "classes",
     )
+    sets = scratch.put(full.select("id", "n", "s1", "s2"), "members")
+    scratch.drop("sets")
 
-    # In each fragment of the order, keep the prefix shingles that a second class has there too.
-    rows = classes.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    bits = max(6, int(rows // FRAGMENT_ROWS).bit_length())
+    # Keep the prefix shingles that a second class has there too.
     tokens = classes.select("c", F.posexplode("prefix").alias("at", "token"))
-    near = Window.partitionBy(F.shiftrightunsigned("token", 64 - bits)).orderBy("token")
-    shared = (
-        tokens.withColumns({"before": F.lag("token").over(near), "after": F.lead("token").over(near)})
-        .where("token = before or token = after")
-        .select("token", "c", "at")
-        .join(classes.select("c", "n", F.size("prefix").alias("p"), "last"), "c")
-    )
+    of = classes.select("c", "n", F.size("prefix").alias("p"), "last")
+    shared = scratch.put(_repeated(tokens), "shared").withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("token")))
     # room: what a class can share at most with one that it first meets in this shingle; its shingles before it are out.
     # left: the same if the other's prefix ends later. Then the shingles of the prefix that no other prefix has are out too.
     of_class = Window.partitionBy("c")
     left = F.col("n") - F.col("p") + F.count(F.lit(1)).over(of_class) - F.row_number().over(of_class.orderBy("at")) + 1
-    postings = shared.withColumns({"left": left, "room": F.col("n") - F.col("at")}).drop("at")
-    postings = postings.where(F.col("room") * 100 >= F.col("n") * percent)
-    postings = stash(postings, "postings")
-    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    postings = stash(postings.join(lists, "token"), "lists")
+    postings = shared.join(of.hint("merge"), "c").withColumns({"left": left, "room": F.col("n") - F.col("at")}).drop("at")
+    postings = scratch.put(postings, "postings")
+    scratch.drop("shared")
+    # From here on, prefixes are asked for in hot lists alone.
+    busy = postings.where(F.col("m") > hot)
+    hot_classes = busy.select("c").distinct()
+    heads = _perhaps(classes.select("c", "prefix"), hot_classes, "c").join(hot_classes.hint("merge"), "c")
+    heads = scratch.put(heads, "heads")
+    slim = scratch.put(classes.drop("prefix"), "slim-classes")
+    scratch.drop("classes")
+    classes = slim
 
     cool = postings.where(F.col("m") <= hot)
     pairs = (
-        cool.alias("x").join(cool.alias("y"), F.expr("x.token = y.token and x.c < y.c") & _fit(percent))
+        cool.alias("x").join(cool.alias("y").hint("merge"), F.expr("x.token = y.token and x.c < y.c") & _fit(percent))
         .select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
     )
-    busy = postings.where(F.col("m") > hot)
     centre = busy.groupBy("token").agg(F.min(F.struct(1 - F.col("left") / F.col("n"), "c", "n", "left", "room", "last")).alias("x"))
     centre = centre.select("token", *(F.col(f"x.{k}").alias(k) for k in ("c", "n", "left", "room", "last")))
     to_centre = (
-        busy.alias("y").join(centre.alias("x"), F.expr("x.token = y.token and x.c <> y.c") & _fit(percent))
+        busy.alias("y").join(centre.alias("x").hint("merge"), F.expr("x.token = y.token and x.c <> y.c") & _fit(percent))
         .select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b"))
     )
-    pairs = stash(pairs.union(to_centre).distinct(), "pairs")
-    links = stash(_verified(pairs, classes, texts, size, percent, fragments), "links")
+    pairs = scratch.put(pairs.union(to_centre).distinct(), "pairs")
+    links = _verified(pairs, classes, hashed, size, percent, fragments, scratch, "first")
 
     if not busy.isEmpty():
         # What the centres left apart: members outside a list's main component against all members of other components.
         # A pair is made in the first list that it shares, and only if the prefixes share enough: beyond them, no more
         # can be shared than the longer remainder.
         part = connected_components(links).withColumnsRenamed({"id": "c", "component": "part"})
-        member = busy.join(part, "c", "left").withColumn("part", F.coalesce("part", F.col("c")))
+        member = busy.join(part.hint("merge"), "c", "left").withColumn("part", F.coalesce("part", F.col("c")))
         main = member.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k"))
         main = main.groupBy("token").agg(F.max_by("part", F.struct("k", "part")).alias("main"))
-        heads = classes.select("c", "prefix").join(busy.select("c").distinct(), "c")
-        member = member.join(main, "token").withColumn("outside", F.expr("part <> main")).join(heads, "c")
-        member = stash(member, "members")
-        apart = F.expr("x.token = y.token and x.outside and x.part <> y.part and (not y.outside or x.c < y.c)")
+        member = member.join(main.hint("merge"), "token").withColumn("outside", F.expr("part <> main")).join(heads.hint("merge"), "c")
+        member = scratch.put(member, "hot-members")
+        # A list's outsiders are dealt over blocks; every block meets the whole list.
+        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+        outside = member.where("outside").withColumn("block", F.pmod(F.hash("c"), blocks))
+        # lists without outsiders need no copies
+        with_outside = member.groupBy("token").agg(F.max("outside").alias("some")).where("some").select("token")
+        whole = member.join(with_outside.hint("merge"), "token").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        apart = F.expr("x.token = y.token and x.block = y.block and x.part <> y.part and (not y.outside or x.c < y.c)")
         common = F.array_intersect("x.prefix", "y.prefix")
         enough = F.size(common) + F.greatest(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p")) >= _least(percent)
         rest = (
-            member.where("outside").alias("x").join(member.alias("y"), apart & _fit(percent) & enough)
+            outside.alias("x").join(whole.alias("y").hint("merge"), apart & _fit(percent) & enough)
             .select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b"))
             .distinct()
         )
-        rest = stash(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+        rest = scratch.put(rest.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "rest")
         if not rest.isEmpty():
-            links = links.union(stash(_verified(rest, classes, texts, size, percent, fragments), "links"))
-
-    groups = connected_components(links).withColumnRenamed("id", "c")
-    named = classes.select("c", "id", "s1", "s2", "n").join(groups, "c", "left")
-    named = named.withColumn("component", F.coalesce("component", "c"))
-    smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = named.join(smallest, "component").select("s1", "s2", "n", "component_id")
-    worded = sets.where("n > 0").join(named, ["s1", "s2", "n"])
-    return (
-        worded.select("id", "n", "component_id")
-        .union(sets.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
-        .select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+            links = links.union(_verified(rest, classes, hashed, size, percent, fragments, scratch, "rest"))
+        scratch.drop("hot-members")
+
+    # A class's vertex begins with its key, so the smallest vertex of a component names the component.
+    vertex = classes.select("c", F.struct("none", "id", "c").alias("vertex"))
+    ends = links
+    for end in "ab":
+        ends = ends.join(vertex.select(F.col("c").alias(end), F.col("vertex").alias(f"v{end}")).hint("merge"), end)
+    groups = connected_components(ends, "va", "vb").select(F.col("id.c").alias("c"), F.col("component.id").alias("component_id"), F.lit(True).alias("linked"))
+    named = classes.select("c", "id", "s1", "s2", "n").join(groups.hint("merge"), "c", "left")
+    named = named.select("s1", "s2", "n", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    worded = sets.where("n > 0").join(named.hint("merge"), ["s1", "s2", "n"])
+    out = scratch.put(
+        worded.select("id", "n", "component_id").union(sets.where("n = 0").select("id", "n", F.col("id").alias("component_id"))), "groups"
     )
+    scratch.drop("members", "slim-classes", "postings", "pairs", "heads", "rest", "first-links", "rest-links")
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
 ORACLE = r"""

@@ -136,3 +136,17 @@ def quality_scores(docs: DataFrame, model: PairwiseQuality, accept: float = 0.3,
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(
         scored, f"id {kind}, score double, predicted int"
     ).withColumnRenamed("id", key)
+
+
+def accepted(docs: DataFrame, model: PairwiseQuality, accept: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``accept``, with all their columns, in one pass.
+
+    The cases are those of ``quality_scores``; keys play no part.
+    """
+    place = docs.columns.index(text)
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(measure(batch.column(place)), accept) >= accept))
+
+    return docs.mapInArrow(passing, docs.schema)

@@ -13,9 +13,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where the setting is absent (tests, one machine)."""
+    """The folder named in ``spark.checkpoint.dir``; a temporary one only where the setting is absent, on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir: name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="loomframe-checkpoint-")
@@ -29,10 +31,25 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     The plan above it starts from files that every executor can read, so a lost executor costs a re-read and never a
     recomputation, and whatever the plan below decided (partition numbers, sampled splitters) stays fixed.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomframe/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession, name).put(df, name)
+
+
+class Scratch:
+    """The tables that one run of an operator stashes, in a folder of its own, so that superseded ones can be deleted."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/loomframe/{name}-{uuid.uuid4().hex}"
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Delete tables; whatever was read from them must have been stashed again."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,25 +59,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
     """Smallest reachable vertex of every vertex in ``edges``: (id, component).
 
-    Alternating large-star and small-star rounds (Kiveris et al., "Connected components in MapReduce and beyond", 2014):
-    each vertex sends its larger, then its smaller, neighbours to the smallest vertex of its neighbourhood, which needs
-    about log(n) rounds even on chains. Every round is two grouped aggregations over the edges, written to the shared
-    folder; edges never visit the driver. No edges give no rows; loops and repeated edges are harmless.
+    Vertices are of any type that can be ordered, structs as well. Alternating large-star and small-star rounds (Kiveris
+    et al., "Connected components in MapReduce and beyond", 2014): each vertex sends its larger, then its smaller,
+    neighbours to the smallest vertex of its neighbourhood, which needs about log(n) rounds even on chains. Every round
+    is two grouped aggregations over the edges, written to the shared folder, and takes the place of the one before;
+    edges never visit the driver. A hub's neighbours are joined to one row, so Spark may split them over tasks. No edges
+    give no rows; loops and repeated edges are harmless.
     """
-    e = stash(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "cc"
+    scratch = Scratch(edges.sparkSession, "components")
+    e = scratch.put(
+        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges"
     )
-    last = None
-    for _ in range(rounds):
+    last, now_at = None, "edges"
+    for i in range(rounds):
         # large star: every larger neighbour of u (and u's minimum) hangs from the minimum of u's neighbourhood
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stash(large.where("u <> v").distinct(), "cc")
+        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = scratch.put(large.where("u <> v").distinct(), f"large-{i}")
         # small star: u and its smaller neighbours hang from the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
-        e = stash(small.where("u <> v").distinct(), "cc")
+        small = large.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
+        e = scratch.put(small.where("u <> v").distinct(), f"small-{i}")
+        scratch.drop(now_at, f"large-{i}")
+        now_at = f"small-{i}"
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last or not now[0]:
             break
