@@ -53,7 +53,7 @@ def op5_secret_scan(spark, sf_dir):
 
 
 def op6_pareto_mixture(spark, sf_dir):
-    return pareto_mixture(documents(spark, sf_dir))
+    return pareto_mixture(documents(spark, sf_dir), affinity=mixing.DIGITS)
 
 
 def op7_section_tokens(spark, sf_dir):

@@ -79,14 +79,41 @@ def test_mixture_equals_sql_and_affinity_moves_it(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
     want = sorted(con.sql(mixing.ORACLE).fetchall(), key=str)
-    got = [tuple(r) for r in pareto_mixture(docs).collect()]
+    got = [tuple(r) for r in pareto_mixture(docs, affinity=mixing.DIGITS).collect()]
     assert [(*w[:3], round(w[3], 6), w[4]) for w in want] == [(*g[:3], round(g[3], 6), g[4]) for g in sorted(got, key=str)]
-    liked = docs.withColumn("liking", F.when(F.col("doc_id") % 2 == 0, 3.0).otherwise(0.0))
-    rows = pareto_mixture(liked, affinity="liking").collect()
+    # with affinity 0, nothing is taken; the others, held at three copies, still meet a target that they can meet
+    rows = pareto_mixture(docs, affinity="case when doc_id % 2 = 0 then 3 else 0 end").collect()
     assert all(r["taken"] == 0 for r in rows if r["doc_id"] % 2) and any(r["taken"] for r in rows)
     assert pareto_mixture(docs.limit(0)).count() == 0
 
 
+def test_sampling_follows_the_inclusion_odds(spark):
+    # two sources, so that the second is sampled at about half; sizes 8 and 127 have 4 and 7 digits
+    rows = [(i, " ".join(["w"] * (8 if i % 2 else 127)), "a" if i < 500 else "b") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    share = Counter()
+    for seed in range(4):
+        for r in pareto_mixture(docs, affinity=mixing.DIGITS, seed=seed).collect():
+            if r["doc_id"] < 500:
+                share[r["size"]] += (r["taken"] > 0) / 1000
+    assert share[8] / share[127] == pytest.approx(4 / 7, abs=0.08)
+
+
+@pytest.mark.parametrize("affinity", [None, mixing.DIGITS])
+def test_null_and_repeated_keys_meet_targets_in_any_partitioning(spark, affinity):
+    draw = __import__("random").Random(8)
+    rows = [(None if i % 3 else i % 40, " ".join(["w"] * draw.randrange(1, 60)) + f" {i % 200}", "a" if i % 2 else "b", 1, "x") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, liking int, id string")
+    runs = [sorted(map(tuple, pareto_mixture(docs.repartition(n), affinity=affinity).collect()), key=str) for n in (1, 4, 9)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 600
+    taken, target = Counter(), {}
+    for _, size, source_size, goal, got in runs[0]:
+        assert 0 <= got <= 3 * size
+        taken[source_size] += got
+        target[source_size] = goal
+    assert all(abs(taken[s] - target[s]) <= 61 for s in target)
+
+
 def test_dedup_equals_sql(spark, tmp_path):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "d"))
