@@ -6,50 +6,78 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomframe.llm.decontaminate import benchmark_leaks
 from loomframe.llm.exact_dedup import content_sort_dedup
-from loomframe.llm.mixing import pareto_mixture
+from loomframe.llm.mixing import DIGITS, pareto_mixture
 from loomframe.llm.ngram_join import jaccard_groups
-from loomframe.llm.quality import fit_quality, quality_scores
+from loomframe.llm.quality import accepted, fit_quality
 from loomframe.llm.stash import documents, stash
 
 
-def _rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``ids``, in their own columns."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+#: Names a row: its doc_id, null last, and its text. Rows that agree in both are copies of each other.
+KEY = "__row"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    return docs.withColumn(KEY, key)
+
+
+def _one_of_each(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Of the rows with one key, the one whose columns come first (dicts, which have no order, aside)."""
+    order = [f.name for f in rows.select(*columns).schema if "map<" not in f.dataType.simpleString()]
+    first = F.min_by(F.struct(*columns), F.struct(*order)).alias("row")
+    return rows.groupBy(KEY).agg(first).select(*(F.col("row")[c].alias(c) for c in columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the pairwise ranking accepts. Rows without a doc_id end here: nothing later could name them."""
-    named = docs.where("doc_id is not null")
-    model = fit_quality(named, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
-    return _rows(named, quality_scores(named, model).where("predicted = 1"))
+    """Documents that the pairwise ranking accepts, in one pass and without a shuffle.
+
+    Defined cases: every row is judged by its whole text alone, so null keys, repeated rows and ties are kept or rejected
+    like any other row; null and empty texts are measured as empty; without labels of both kinds all rows stay; an empty
+    table stays empty; further columns, whatever their names, are carried along.
+    """
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.lit(True))
+    return accepted(docs, model)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of those with the same text, the one with the smallest doc_id; a row that repeats stays once."""
-    found = content_sort_dedup(docs, keep="smallest")
-    kept = stash(found.where("kept").select("doc_id"), "kept")
-    rows = _rows(docs, kept)
-    # a doc_id that stands on several rows: the row is kept once for each text
-    twice = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    return rows.join(twice, "doc_id", "left_anti").select(*docs.columns).union(
-        rows.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    )
+    """One row of those with the same text after lower-casing A-Z: the one with the smallest doc_id.
+
+    Defined cases: a null doc_id stays only where its group has no other; of equal doc_ids the text with the smaller
+    digest stays, and of rows that repeat one; null texts are empty texts, and all of these are one group; texts are
+    compared whole; an empty table stays empty; further columns are carried along.
+    """
+    keyed = _keyed(docs)
+    kept = content_sort_dedup(keyed, key=KEY, keep="smallest").where("kept").select(KEY)
+    return _one_of_each(keyed.join(kept.hint("merge"), KEY, "left_semi"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that n-gram similarity links: the one with the smallest doc_id."""
-    return _rows(docs, jaccard_groups(docs).where("doc_id = component_id"))
+    """One document of each group that n-gram similarity links: the one with the smallest doc_id, null last.
+
+    Defined cases: texts without words link with nothing and stay; of rows that repeat one stays, and of equal doc_ids
+    in a group the text with the smaller digest; texts are compared whole; an empty table stays empty; further columns
+    are carried along.
+    """
+    keyed = _keyed(docs)
+    kept = jaccard_groups(keyed, key=KEY).where(F.col(KEY) == F.col("component_id")).select(KEY).distinct()
+    return _one_of_each(keyed.join(kept.hint("merge"), KEY, "left_semi"), docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = benchmark_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no benchmark item.
+
+    Defined cases: every row is judged by its whole text, so rows with a null doc_id, repeated rows and ties fare alike;
+    null and empty texts hold nothing and stay; an empty benchmark removes nothing; an empty table stays empty; further
+    columns are carried along.
+    """
+    keyed = _keyed(docs)
+    leaks = benchmark_leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=KEY)
+    return keyed.join(leaks.select(KEY).distinct(), KEY, "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mixture takes."""
-    return pareto_mixture(docs)
+    """How many words of each document the mixture takes, one row for each row: see ``pareto_mixture`` for the cases."""
+    return pareto_mixture(docs, affinity=DIGITS)
 
 
 STAGES = [
