@@ -16,8 +16,9 @@ from ..functions.aggregates import Aggregator, kinds_of, resolve
 from ..functions.missing import missing, truthy
 from ..functions.types import MOMENT, NUMERIC, classify_all, fit, infer, spark_type, tag, text_cast
 from ..plans.lineage import COUNT, DATAFRAME, EMPTY, HIVE, INDEX, PANDAS, PROGRAM, RDD, Lineage
-from ..plans.order import POSITION, aligned, fresh, quoted, with_position
+from ..plans.order import POSITION, aligned, fresh, quoted, row_order, with_position
 from ..plans.session import session
+from ..plans.store import stash
 from .series import Series, native, sliced
 
 
@@ -300,7 +301,7 @@ class Frame:
     def add_row_number(self, column_name: str = "id", start: int = 0) -> Frame:
         if column_name in self.df.columns:
             raise RuntimeError(f"column {column_name!r} exists")
-        rows = with_position(self.df, column_name, start)
+        rows = with_position(self.df, column_name, start).orderBy(col(column_name))
         lineage = self._lineage.put(column_name, frozenset([(INDEX, "")]))
         return Frame.of(rows.select(col(column_name), *map(col, self.df.columns)), lineage.select([column_name, *self.df.columns]))
 
@@ -373,8 +374,9 @@ class Frame:
         if not 0 <= fraction <= 1:
             raise ValueError("fraction: from 0 to 1")
         seed = seed if seed is not None else int(datetime.datetime.now().timestamp())
-        # one draw for each row decides both parts, so no row is in both or in neither
-        drawn = self.df.withColumn("__draw", F.rand(seed)).persist()
+        # The draws are written with the rows: both parts read the same ones, so no row is in both or in neither, even if an
+        # executor is lost between them.
+        drawn = stash(self.df.withColumn("__draw", F.rand(seed)), "split")
         parts = (drawn.where(F.col("__draw") < fraction), drawn.where(F.col("__draw") >= fraction))
         return tuple(self._next(p.drop("__draw")) for p in parts)
 
@@ -545,7 +547,7 @@ class Frame:
         df = self.df
         order = None
         if any(a.ordered for _, a in named):
-            df = with_position(df)
+            df = df.withColumn(POSITION, row_order())
             order = F.col(POSITION)
         lineage, exprs, taken = self._lineage.select(keys), [], list(keys)
         for name, a in named:

@@ -315,8 +315,8 @@ class Series:
         return Series.rows(marked.select(F.col("__best").isNotNull()), self._lineage)
 
     def filter(self, fn, skip_undefined: bool = True) -> Series:
-        """Values for which ``fn`` is true: a function of a value, or one from Column to Column."""
-        test = self._applied(fn, T.BooleanType(), skip_undefined)
+        """Values for which ``fn`` is true in Python's sense: a function of a value, or one marked ``columnwise``."""
+        test = self._applied(fn if getattr(fn, "columnwise", False) else lambda v: bool(fn(v)), T.BooleanType(), skip_undefined)
         return Series.rows(self.df.where(F.coalesce(test, F.lit(False))).select(self.expr), self._lineage)
 
     def dropna(self) -> Series:
@@ -332,19 +332,23 @@ class Series:
 
     # --- functions of a value -----------------------------------------------------------------------------------
     def _applied(self, fn, kind: T.DataType | None, skip_undefined: bool) -> Column:
-        out = native(fn, self.expr)
+        out = native(fn, self.expr, kind)
         if out is not None:
             return out
         if kind is None:
             kind = infer([fn(v) for v in self.head_as_list(100) if not (skip_undefined and v is None)])
-        call = F.udf(lambda v: fit(fn(v), kind), kind, useArrow=True)
-        value = call(self.expr)
-        return F.when(~missing(self.expr, self.kind), value) if skip_undefined else value
+        # Spark may compute a UDF before the condition around it, so the function itself passes over what is undefined
+        call = F.udf(lambda v: None if skip_undefined and v is None else fit(fn(v), kind), kind, useArrow=True)
+        if not skip_undefined:
+            return call(self.expr)
+        gone = missing(self.expr, self.kind)
+        return F.when(~gone, call(F.when(~gone, self.expr)))
 
     def apply(self, fn, dtype=None, skip_undefined: bool = True, seed: int | None = None) -> Series:
         """``fn`` of each value; missing values give missing unless ``skip_undefined`` is off.
 
-        A function that maps a Column to a Column stays in the plan; any other runs in Python, in Arrow batches.
+        It runs in Python, in Arrow batches, with Python's meaning; a function marked ``columnwise`` gets a Column and
+        stays in the plan. The result has ``dtype``, or the type of the first results.
         """
         kind = None if dtype is None else spark_type(dtype, () if dtype not in (list, dict) else [fn(v) for v in self.head_as_list(100) if v is not None])
         return self._with(self._applied(fn, kind, skip_undefined))
@@ -353,8 +357,13 @@ class Series:
         if fn is None:
             lists = self.expr
         else:
-            sample = [x for v in self.head_as_list(100) if v is not None for x in fn(v)] if dtype is None and native(fn, self.expr) is None else []
-            lists = self._applied(fn, T.ArrayType(infer(sample) if dtype is None else spark_type(dtype)), skip_undefined)
+            if dtype is not None:
+                kind = T.ArrayType(spark_type(dtype))
+            elif getattr(fn, "columnwise", False):
+                kind = None
+            else:
+                kind = T.ArrayType(infer([x for v in self.head_as_list(100) if v is not None for x in fn(v)]))
+            lists = self._applied(fn, kind, skip_undefined)
         rows = self.df.select(F.explode(lists).alias(VALUE))
         got = Series.rows(rows, self._lineage)
         return got.dropna() if skip_undefined else got
@@ -554,13 +563,21 @@ class Series:
         save_series(self, filename, format)
 
 
-def native(fn, c: Column) -> Column | None:
-    """fn(c) where it maps a Column to a Column; None for a function of Python values."""
-    try:
-        out = fn(c)
-    except Exception:  # noqa: BLE001  a function of values may fail on a Column in any way
+def columnwise(fn: Callable) -> Callable:
+    """Mark a function as one from Column to Column, which ``apply``, ``filter``, ``flat_map`` and ``filterby`` keep in the plan.
+
+    Only marked functions are given a Column: the operators of a Column mean something else than Python's on values
+    (the sign of %, / of integers, + of strings), so an unmarked function always gets values.
+    """
+    fn.columnwise = True
+    return fn
+
+
+def native(fn, c: Column, kind: T.DataType | None = None) -> Column | None:
+    """fn(c), as ``kind`` where it is given, for a function marked ``columnwise``; None for a function of values."""
+    if not getattr(fn, "columnwise", False):
         return None
-    return out if isinstance(out, Column) else None
+    return fn(c) if kind is None else fn(c).cast(kind)
 
 
 def _listed(keys) -> list:
@@ -599,6 +616,8 @@ def sliced(df: DataFrame, key: slice, size: Callable[[], int]) -> DataFrame:
         start, stop = (None if v is None else max(0, v + n) if v < 0 else v for v in (start, stop))
     if step == 1 and start == 0:
         return df if stop is None else df.limit(stop)
+    if step == 1:
+        return df.offset(start) if stop is None else df.offset(start).limit(max(0, stop - start))
     c = F.col(POSITION)
     keep = (c >= start) & ((c - start) % step == 0)
     rows = with_position(df)

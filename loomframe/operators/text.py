@@ -8,8 +8,7 @@ from ..plans.order import POSITION, with_position
 
 
 def words(c: Column, to_lower: bool = True) -> Column:
-    found = F.split(F.trim(F.lower(c) if to_lower else c), r"\s+")
-    return F.filter(found, lambda w: w != "")
+    return F.array_remove(F.split(F.lower(c) if to_lower else c, r"\s+"), "")
 
 
 def bound(value: Column, use) -> Column:
@@ -30,7 +29,7 @@ def counted(items: Column) -> Column:
         return F.map_from_arrays(F.transform(at, lambda i: F.get(o, i)), counts)
 
     empty = F.create_map().cast("map<string,bigint>")
-    return F.when(F.size(items) > 0, bound(F.array_sort(items), from_sorted)).when(items.isNotNull(), empty)
+    return F.when(F.size(items) > 0, bound(F.sort_array(items), from_sorted)).when(items.isNotNull(), empty)
 
 
 def word_counts(c: Column, to_lower: bool = True) -> Column:
@@ -56,14 +55,15 @@ def ngram_counts(c: Column, n: int = 2, method: str = "word", to_lower: bool = T
 def tf_idf_rows(docs: DataFrame, doc: str, items: str) -> DataFrame:
     """(doc, word, tf_idf): (0.5 + 0.5 count / largest count) times ln((documents + 1) / (occurrences + 1)).
 
-    occurrences counts all occurrences of a word in all documents.
+    Each row is a document; occurrences counts all occurrences of a word in all documents. A document's own counts are
+    made where it stands, so only (doc, word) rows are exchanged, once, by word.
     """
-    rows = docs.select(F.col(doc).alias("doc"), F.explode(F.col(items)).alias("word")).groupBy("doc", "word").agg(F.count(F.lit(1)).alias("n"))
-    most = rows.groupBy("doc").agg(F.max("n").alias("most"))
-    total = rows.groupBy("word").agg(F.sum("n").alias("total"))
+    own = docs.select(F.col(doc).alias("doc"), counted(F.col(items)).alias("counts"))
+    rows = own.select("doc", F.array_max(F.map_values("counts")).alias("most"), F.explode("counts").alias("word", "n"))
+    total = docs.select(F.explode(F.col(items)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("total"))
     documents = docs.agg(F.count(F.lit(1)).alias("documents"))
     value = (0.5 + 0.5 * F.col("n") / F.col("most")) * F.log((F.col("documents") + 1) / (F.col("total") + 1))
-    return rows.join(most, "doc").join(total, "word").crossJoin(F.broadcast(documents)).select("doc", "word", value.alias("tf_idf"))
+    return rows.join(total, "word").crossJoin(F.broadcast(documents)).select("doc", "word", value.alias("tf_idf"))
 
 
 def tf_idf(series):

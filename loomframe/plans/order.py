@@ -1,43 +1,46 @@
-"""Row positions. They are added only by operations that ask for a position, and never by one global window."""
+"""Row positions. They are added only by operations that ask for a position, and never by one global window over rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
-
-POSITION = "__position"
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from .store import stash
 
-def _hashable(name: str, kind: T.DataType) -> Column:
-    c = F.col(quoted(name))
-    return F.to_json(F.struct(c)) if "map" in kind.simpleString() else c
+POSITION = "__position"
 
 
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def row_order() -> Column:
+    """A number that grows with the rows' present order, within the job that computes it. It costs no pass of its own.
+
+    It serves what needs an order inside of one aggregation. Positions that several jobs must agree on come from
+    ``with_position``: a sort samples its splitters anew in each job, so its partitions differ between jobs.
+    """
+    return F.monotonically_increasing_id()
+
+
 def with_position(df: DataFrame, name: str = POSITION, start: int = 0) -> DataFrame:
-    """Number the rows from ``start`` in their present order.
+    """Number the rows from ``start`` in their present order; the rows themselves come in no order.
 
-    Two passes: one counts the rows of each partition, the other adds the rows before a partition to a row's place in
-    it. The counting pass hashes all columns, so that no column is pruned and both passes see the same partitions. What
-    is broadcast has one small row for each partition.
+    The rows are written once with their partition and their place in it; the rows of each partition are counted in
+    these files, and a row's number is its place behind all partitions before its own. What is broadcast, and what one
+    task adds up, has one small row for each partition.
     """
-    marked = df.withColumn("__mark", F.monotonically_increasing_id())
-    everything = F.xxhash64(*(_hashable(f.name, f.dataType) for f in df.schema.fields)) if df.columns else F.lit(0)
-    counts = (
-        marked.groupBy(F.shiftright("__mark", 33).alias("p"))
-        .agg(F.count(F.lit(1)).alias("n"), F.bit_xor(everything).alias("h"))
-        .orderBy("p").collect()
-    )
-    before, rows = start, []
-    for r in counts:
-        rows.append((r["p"], before))
-        before += r["n"]
-    offsets = df.sparkSession.createDataFrame(rows, "__part long, __before long")
-    place = F.col("__mark").bitwiseAND((1 << 33) - 1) + F.col("__before")
-    joined = marked.join(F.broadcast(offsets), F.shiftright("__mark", 33) == F.col("__part"))
-    return joined.select(*(F.col(quoted(c)) for c in df.columns), place.alias(name))
+    names = [f"c{i}" for i in range(len(df.columns))]
+    void = {n for n, f in zip(names, df.schema.fields, strict=True) if isinstance(f.dataType, T.NullType)}
+    plain = df.toDF(*names).select(*(n for n in names if n not in void), row_order().alias("__mark"))
+    marked = stash(plain, "positions")
+    part = F.shiftright("__mark", 33)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = marked.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select("__part", (F.coalesce(F.sum("n").over(before), F.lit(0)) + start).alias("__before"))
+    place = (F.col("__mark").bitwiseAND((1 << 33) - 1) + F.col("__before")).alias(name)
+    joined = marked.join(F.broadcast(offsets), part == F.col("__part"))
+    old = dict(zip(names, df.columns, strict=True))
+    return joined.select(*((F.lit(None) if n in void else F.col(n)).alias(old[n]) for n in names), place)
 
 
 def aligned(left: DataFrame, right: DataFrame) -> tuple[DataFrame, dict[str, str]]:

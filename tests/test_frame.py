@@ -3,6 +3,7 @@ import datetime
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomframe import ARGMAX, ARGMIN, CONCAT, COUNT, MAX, MEAN, MIN, QUANTILE, SELECT_ONE, STDV, SUM, VARIANCE, Frame, Series
 
@@ -236,3 +237,24 @@ def test_native_operators_stay_in_the_plan(g):
     plan = f.groupby("id", {"s": SUM("x"), "c": CONCAT("val")}).sort("id").df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert math.isclose(f["x"].mean(), 11.0)
+
+
+@pytest.mark.parametrize("parts,adaptive", [(8, "true"), (8, "false"), (64, "false")])
+def test_positions_after_a_sort_that_fills_partitions(spark, parts, adaptive):
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        n = 600_000
+        rows = Frame.of(spark.range(0, n, 1, 5).selectExpr("id", "hash(id, 'a') as k", "id % 1000 as g"))
+        numbered = rows.sort(["k", "id"]).add_row_number("at").df
+        behind = numbered.alias("x").join(numbered.alias("y"), F.expr("x.at + 1 = y.at"))
+        assert numbered.select("at").distinct().count() == n and numbered.agg(F.max("at")).first()[0] == n - 1
+        assert behind.where("x.k < y.k or (x.k = y.k and x.id < y.id)").count() == n - 1
+        lists = rows.sort("id").groupby("g", {"l": CONCAT("id"), "first": ARGMIN("g", "id"), "m": CONCAT("g", "id")}).df
+        wrong = lists.where("l <> array_sort(l) or size(l) <> 600 or first <> array_min(l) or m[g] <> array_max(l)")
+        assert lists.count() == 1000 and wrong.count() == 0
+        assert [r["id"] for r in rows.sort("id")[599_990:599_999:4].df.collect()] == [599_990, 599_994, 599_998]
+        assert [r["id"] for r in rows.sort("id").tail(3).df.collect()] == [n - 3, n - 2, n - 1]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

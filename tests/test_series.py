@@ -3,7 +3,7 @@ import math
 
 import pytest
 
-from loomframe import Series
+from loomframe import Frame, Series, columnwise
 
 pytestmark = pytest.mark.usefixtures("spark")
 
@@ -118,3 +118,19 @@ def test_frequency_count_of_lists_and_dicts_beyond_the_frequent_items():
     dicts = Series([{"a": i, "b": 1} for i in range(600)] + [{"b": 1, "a": 599}]).sketch_summary()
     assert dicts.frequency_count({"b": 1, "a": 599}) == 2 and dicts.frequency_count({"a": 598, "b": 1}) == 1
     assert dicts.frequency_count({"a": 598}) == 0
+
+
+def test_functions_keep_the_meaning_of_python(spark):
+    values = [-7, -1, 5, None]
+    for fn, dtype in [(lambda x: x % 3, int), (lambda x: x // 2, int), (lambda x: x**2, int), (lambda x: x + 0.5, float), (lambda x: x * 2, str), (lambda x: x > 0, bool)]:
+        want = [None if v is None else str(fn(v)) if dtype is str else fn(v) for v in values]
+        got = list(Series(values).apply(fn, dtype))
+        assert got == want and [type(v) for v in got] == [type(v) for v in want]
+    assert list(Series(["a", None]).apply(lambda x: x + "!", str)) == ["a!", None]
+    assert list(Series([-7, -1, 5]).apply(lambda x: x % 3)) == [2, 2, 2]
+    assert list(Series([1, None, 3]).apply(lambda x: 0 if x is None else x, int, skip_undefined=False)) == [1, 0, 3]
+    assert list(Series([-7, 4, 6]).filter(lambda x: x % 3)) == [-7, 4]
+    assert list(Series([2, 0]).flat_map(lambda x: [x] * x, int)) == [2, 2]
+    doubled = Series([1, 2]).apply(columnwise(lambda c: c * 2), float)
+    assert list(doubled) == [2.0, 4.0] and "Python" not in doubled.to_dataframe()._jdf.queryExecution().toString()
+    assert Frame([("a", [-4, 5])]).filterby(lambda x: x % 3 == 2, "a").num_rows() == 2
