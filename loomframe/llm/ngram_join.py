@@ -33,8 +33,12 @@ from .words import chunks, mix, shingle_hashes, shingle_sets, spans, word_hashes
 
 #: At most so many frequent shingles are told to every task (16 bytes each); others only lose the benefit of standing last.
 FREQUENT = 1 << 19
-#: A shingle counts as frequent from this many classes on; posting lists above it are joined through their centre first.
+#: A shingle counts as frequent from this many documents on.
+OFTEN = 64
+#: Posting lists of more classes are joined through their centre first; shorter ones give all of their pairs.
 HOT = 64
+#: Shingles that are counted together before what repeats among them is summed up.
+RUN = 4_000_000
 #: Leading bits of a shingle that name its fragment of the order when prefixes are exchanged.
 FRAGMENT_BITS = 16
 #: Members of a hot list in one block of those that are compared with all others.
@@ -52,18 +56,27 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _frequent(docs: DataFrame, text: str, size: int) -> DataFrame:
     """Shingles with a lower bound of the number of documents that hold them: what repeats within a run of documents."""
 
+    def repeats(seen: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        hashes = np.concatenate(seen)
+        seen.clear()
+        hashes.sort()
+        edge = np.diff(np.concatenate([[0], (hashes[1:] == hashes[:-1]).view(np.int8), [0]]).astype(np.int8))
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if len(first):
+            yield pa.RecordBatch.from_arrays([_signed(hashes[first]), pa.array(last - first + 1)], names=["token", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, held = [], 0
         for batch in batches:
-            seen = [np.zeros(0, np.uint64)]
             for _, _, off, data in chunks(batch.column(0)):
                 starts, ends, _ = spans(off, data)
                 seen.append(shingle_hashes(word_hashes(data, starts, ends), size))
-            hashes, n = np.unique(np.concatenate(seen), return_counts=True)
-            keep = n > 1
-            if keep.any():
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(hashes[keep]), pa.array(n[keep])], names=["token", "n"]
-                )
+                held += len(seen[-1])
+                if held > RUN:
+                    yield from repeats(seen)
+                    held = 0
+        if seen:
+            yield from repeats(seen)
 
     return docs.select(text).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -270,7 +283,7 @@ def jaccard_groups(
     texts = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     hashed = texts.select("text", _row_hash("id", "text"))
     found = (
-        _frequent(texts, "text", size).where(F.col("n") >= hot).orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
+        _frequent(texts, "text", size).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
     )
     frequent = found["token"].to_numpy("int64").view(np.uint64)[::-1].copy()
 
@@ -298,14 +311,7 @@ def jaccard_groups(
     postings = shared.join(of.hint("merge"), "c").withColumns({"left": left, "room": F.col("n") - F.col("at")}).drop("at")
     postings = scratch.put(postings, "postings")
     scratch.drop("shared")
-    # From here on, prefixes are asked for in hot lists alone.
     busy = postings.where(F.col("m") > hot)
-    hot_classes = busy.select("c").distinct()
-    heads = _perhaps(classes.select("c", "prefix"), hot_classes, "c").join(hot_classes.hint("merge"), "c")
-    heads = scratch.put(heads, "heads")
-    slim = scratch.put(classes.drop("prefix"), "slim-classes")
-    scratch.drop("classes")
-    classes = slim
 
     cool = postings.where(F.col("m") <= hot)
     pairs = (
@@ -329,14 +335,17 @@ def jaccard_groups(
         member = busy.join(part.hint("merge"), "c", "left").withColumn("part", F.coalesce("part", F.col("c")))
         main = member.groupBy("token", "part").agg(F.count(F.lit(1)).alias("k"))
         main = main.groupBy("token").agg(F.max_by("part", F.struct("k", "part")).alias("main"))
-        member = member.join(main.hint("merge"), "token").withColumn("outside", F.expr("part <> main")).join(heads.hint("merge"), "c")
-        member = scratch.put(member, "hot-members")
-        # A list's outsiders are dealt over blocks; every block meets the whole list.
+        member = scratch.put(member.join(main.hint("merge"), "token").withColumn("outside", F.expr("part <> main")).drop("main"), "hot-members")
+        # Lists without outsiders are done. Of the others, a list's outsiders are dealt over blocks, and every block meets
+        # the whole list; prefixes are asked for here alone.
+        some = member.where("outside").select("token").distinct()
+        member = member.join(some.hint("merge"), "token")
+        theirs = scratch.put(member.select("c").distinct(), "hot-classes")
+        heads = scratch.put(_perhaps(classes.select("c", "prefix"), theirs, "c").join(theirs.hint("merge"), "c"), "heads")
+        member = scratch.put(member.join(heads.hint("merge"), "c"), "hot-heads")
         blocks = F.ceil(F.col("m") / BLOCK).cast("int")
         outside = member.where("outside").withColumn("block", F.pmod(F.hash("c"), blocks))
-        # lists without outsiders need no copies
-        with_outside = member.groupBy("token").agg(F.max("outside").alias("some")).where("some").select("token")
-        whole = member.join(with_outside.hint("merge"), "token").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        whole = member.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
         apart = F.expr("x.token = y.token and x.block = y.block and x.part <> y.part and (not y.outside or x.c < y.c)")
         common = F.array_intersect("x.prefix", "y.prefix")
         enough = F.size(common) + F.greatest(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p")) >= _least(percent)
@@ -348,7 +357,7 @@ def jaccard_groups(
         rest = scratch.put(rest.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "rest")
         if not rest.isEmpty():
             links = links.union(_verified(rest, classes, hashed, size, percent, fragments, scratch, "rest"))
-        scratch.drop("hot-members")
+        scratch.drop("hot-members", "hot-heads", "hot-classes", "heads")
 
     # A class's vertex begins with its key, so the smallest vertex of a component names the component.
     vertex = classes.select("c", F.struct("none", "id", "c").alias("vertex"))
@@ -362,7 +371,7 @@ def jaccard_groups(
     out = scratch.put(
         worded.select("id", "n", "component_id").union(sets.where("n = 0").select("id", "n", F.col("id").alias("component_id"))), "groups"
     )
-    scratch.drop("members", "slim-classes", "postings", "pairs", "heads", "rest", "first-links", "rest-links")
+    scratch.drop("members", "classes", "postings", "pairs", "rest", "first-links", "rest-links")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 

@@ -2,54 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..plans.store import Scratch, stash
 
-#: Folders of sessions without the setting, by application.
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where the setting is absent, on one machine (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir: name a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="loomframe-checkpoint-")
-        found = _own[app]
-    return found.rstrip("/")
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    The plan above it starts from files that every executor can read, so a lost executor costs a re-read and never a
-    recomputation, and whatever the plan below decided (partition numbers, sampled splitters) stays fixed.
-    """
-    return Scratch(df.sparkSession, name).put(df, name)
-
-
-class Scratch:
-    """The tables that one run of an operator stashes, in a folder of its own, so that superseded ones can be deleted."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.folder = spark, f"{shared_dir(spark)}/loomframe/{name}-{uuid.uuid4().hex}"
-
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.folder}/{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        """Delete tables; whatever was read from them must have been stashed again."""
-        for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Scratch", "connected_components", "documents", "stash"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
