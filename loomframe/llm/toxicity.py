@@ -1,9 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Small transducers read a clause word by word: one writes the weight of an insult or threat, others turn a negation, a
-target and reported speech into factors on it. Their composition is one machine whose states are triples (words since a
-negation, words since a target, inside reported speech); it scores matched clauses, not isolated words. A document's
-score is a logistic function of its clauses' weights.
+A word of a clause is a letter of a small alphabet: negation, target, report, threat, insult or other. Small transducers
+read the letters, each as a table of next states and a table of factors that it puts on the weight of an insult or a
+threat: one knows whether a negation stands close before it, one whether the clause reports another's words, one whether
+a target stands close before. ``compose`` makes one machine of them, whose states are tuples of theirs and whose factors
+are products. A target may also follow its insult or threat ("fool that you are", "i will kill you"), so a second
+machine reads each clause from its end; the two together weigh every match. A clause's weight is the sum over its
+matches, and a document's score is a logistic function of its clauses' weights: words count only through matched clauses.
 
 The words of the insult transducer are not listed: they are induced from labelled documents, as whole words and as
 beginnings of words, each weighted by a lower confidence bound of its log odds.
@@ -12,6 +15,7 @@ beginnings of words, each weighted by a lower confidence bound of its log odds.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +29,87 @@ THREATS = "kill hurt destroy beat burn stab shoot strangle töten schlagen verni
 TARGETS = "you your you're u ur he she they them du dich dir euch ihr tu toi te vous il elle tú ti usted ustedes él ella"
 NEGATIONS = "not never no isn't aren't wasn't don't doesn't nicht kein keine nie ne pas jamais nunca jamás tampoco"
 REPORTS = "said says wrote writes called calls claimed quoted sagte schrieb nannte dit écrit appelé dijo escribió llamó"
+#: The letters of the machines.
+OTHER, NEGATION, TARGET, REPORT, THREAT, INSULT = range(6)
+LETTERS = 6
 #: Beginnings of words, in bytes, that may enter the lexicon beside whole words.
 STEMS = tuple(range(4, 11))
 #: Entries of the lexicon at most, and the words over which a negation or a target reaches.
 LEXICON, REACH = 4096, 3
 #: Least weight of an entry: words whose log odds are surely above it.
 FLOOR = 1.5
-#: Factors that the composed transducers put on the weight of a match.
-NEGATED, REPORTED, AIMED = 0.4, 0.6, 1.3
+#: Factors that the composed transducers put on the weight of a match; a threat weighs THREATENED if it has a target.
+NEGATED, REPORTED, AIMED, THREATENED = 0.4, 0.6, 1.3, 1.0
 
 _STEM = [np.uint64(x) for x in np.random.default_rng(7).integers(1, 2**63, 32)]
-FEATURES = ("bias", "total", "strongest", "rate", "matches", "kinds")
+FEATURES = ("bias", "total", "strongest", "rate", "clauses", "aimed")
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """follow[state, letter] is the next state, factor[state, letter] what the state puts on a match of that letter."""
+
+    follow: np.ndarray
+    factor: np.ndarray
+    start: int
+
+
+def since(letter: int, reach: int, near: float, far: float = 1.0) -> Transducer:
+    """Counts the words since ``letter``: matches within ``reach`` words of it get the factor ``near``, others ``far``."""
+    states = reach + 1  # 0 to reach - 1 words between, or more
+    follow = np.minimum(np.arange(states) + 1, reach)[:, None].repeat(LETTERS, 1)
+    follow[:, letter] = 0
+    factor = np.where(np.arange(states) < reach, near, far)[:, None].repeat(LETTERS, 1)
+    return Transducer(follow, factor, reach)
+
+
+def after(letter: int, factor: float) -> Transducer:
+    """Matches anywhere behind ``letter`` get the factor."""
+    follow = np.array([[0] * LETTERS, [1] * LETTERS])
+    follow[0, letter] = 1
+    return Transducer(follow, np.array([[1.0] * LETTERS, [factor] * LETTERS]), 0)
+
+
+def compose(a: Transducer, b: Transducer) -> Transducer:
+    """The machine that reads as both do: pairs of states, products of factors."""
+    n = len(b.follow)
+    follow = (a.follow[:, None, :] * n + b.follow[None, :, :]).reshape(-1, LETTERS)
+    return Transducer(follow, (a.factor[:, None, :] * b.factor[None, :, :]).reshape(-1, LETTERS), a.start * n + b.start)
+
+
+def states(machine: Transducer, letters: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The state before each letter of the clauses letters[bounds[i] : bounds[i + 1]]; all clauses take each step at once."""
+    out = np.full(len(letters), machine.start)
+    at, ends = bounds[:-1].copy(), bounds[1:]
+    at, ends = at[at < ends], ends[at < ends]
+    state = np.full(len(at), machine.start)
+    while len(at):
+        out[at] = state
+        state, at = machine.follow[state, letters[at]], at + 1
+        going = at < ends
+        if not going.all():
+            at, ends, state = at[going], ends[going], state[going]
+    return out
+
+
+#: Before a match: negation and reported speech, composed; a target, whose state says whether one is near.
+MOOD = compose(since(NEGATION, REACH, NEGATED), after(REPORT, REPORTED))
+NEAR = since(TARGET, REACH, AIMED)
+BEFORE = compose(MOOD, NEAR)
+
+
+def weigh(weights: np.ndarray, letters: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weight of each word as a match, and whether it has a target: the composed machine forwards, a target's backwards.
+
+    A target on either side makes a match aimed, once; a threat without one weighs nothing.
+    """
+    hit = (letters == THREAT) | (weights > 0)
+    forward = states(BEFORE, letters, bounds)
+    backward = states(NEAR, letters[::-1], len(letters) - bounds[::-1])[::-1]
+    mood = MOOD.factor[forward // len(NEAR.follow), letters]
+    aimed = np.maximum(NEAR.factor[forward % len(NEAR.follow), letters], NEAR.factor[backward, letters])
+    base = np.where(letters == THREAT, np.where(aimed > 1, np.maximum(weights, THREATENED), weights), weights)
+    return np.where(hit, base * mood * aimed, 0.0), hit & (aimed > 1)
 
 
 def _entries(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -69,7 +143,7 @@ def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[at] == values if len(among) else np.zeros(len(values), bool)
 
 
-def _trim(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _trim(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word ends without one closing mark; a mark ends a clause."""
     last = data[ends - 1]
     mark = np.isin(last, np.frombuffer(b".,;:!?", np.uint8)) & (ends - starts > 1)
@@ -82,7 +156,7 @@ class Grammar:
     def __init__(self, entries: np.ndarray, weights: np.ndarray):
         order = np.argsort(entries, kind="stable")
         self.entries, self.weights = entries[order], weights[order]
-        self.threats, self.targets, self.negations, self.reports = map(_listed, (THREATS, TARGETS, NEGATIONS, REPORTS))
+        self.classes = [(k, _listed(w)) for k, w in ((NEGATION, NEGATIONS), (TARGET, TARGETS), (REPORT, REPORTS), (THREAT, THREATS))]
         self.logit = np.zeros(len(FEATURES))
 
     def _matches(self, hashes: np.ndarray) -> np.ndarray:
@@ -95,70 +169,54 @@ class Grammar:
                 np.maximum(best, np.where(self.entries[at] == row, self.weights[at], 0), out=best)
         return best
 
-    def _clause(self, weight: np.ndarray, kind: np.ndarray) -> float:
-        """Run the composed machine over a clause; kind: 0 other, 1 negation, 2 target, 3 report, 4 threat.
-
-        A target may stand before or after its insult ("you fool", "fool that you are"), a negation stands before it.
-        """
-        negation, target, reported, total, open_ = REACH + 1, REACH + 1, False, 0.0, 0.0
-        for w, k in zip(weight, kind, strict=True):
-            negation = 0 if k == 1 else negation + 1
-            target = 0 if k == 2 else target + 1
-            reported |= k == 3
-            if k == 2 and open_:
-                total += open_ * (AIMED - 1)
-                open_ = 0.0
-            if k == 4 and target <= REACH:
-                w = max(w, 1.0)
-            if w:
-                w *= (NEGATED if negation <= REACH else 1) * (REPORTED if reported else 1)
-                open_ = 0.0 if target <= REACH else w
-                total += w * (AIMED if target <= REACH else 1)
-        return total
+    def clauses(self, off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(document, weight, aimed weight) of each clause with a match, and the words of each document."""
+        data = _folded(data)
+        starts, ends, firsts = spans(off, data)
+        none = np.zeros(0)
+        if not len(starts):
+            return none.astype(np.int64), none, none, np.diff(firsts)
+        ends, mark = _trim(data, starts, ends)
+        hashes = _entries(data, starts, ends)
+        weight = self._matches(hashes)
+        letters = np.where(weight > 0, INSULT, OTHER)
+        for k, listed in self.classes:
+            letters[_member(hashes[0], listed)] = k
+        # clauses end at a closing mark, a line end and a document's end
+        lines = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(data == 10, out=lines[1:])
+        new = np.zeros(len(starts), bool)
+        new[0] = True
+        new[1:] = mark[:-1] | (lines[starts[1:]] != lines[starts[:-1]])
+        new[firsts[:-1][firsts[:-1] < len(starts)]] = True
+        clause = np.cumsum(new) - 1
+        # only clauses with a possible match are read
+        live = np.unique(clause[(letters == INSULT) | (letters == THREAT) | (weight > 0)])
+        if not len(live):
+            return none.astype(np.int64), none, none, np.diff(firsts)
+        keep = np.zeros(clause[-1] + 1, bool)
+        keep[live] = True
+        words = np.flatnonzero(keep[clause])
+        bounds = np.append(np.flatnonzero(np.diff(clause[words], prepend=-1)), len(words))
+        value, aimed = weigh(weight[words], letters[words], bounds)
+        total = np.add.reduceat(value, bounds[:-1])
+        at_target = np.add.reduceat(value * aimed, bounds[:-1])
+        owner = np.searchsorted(firsts, words[bounds[:-1]], "right") - 1
+        matched = total > 0
+        return owner[matched], total[matched], at_target[matched], np.diff(firsts)
 
     def features(self, column: pa.Array) -> np.ndarray:
-        """One row of FEATURES for each text."""
+        """One row of FEATURES for each text, all of them from its matched clauses."""
         out = np.zeros((len(column), len(FEATURES)))
         out[:, 0] = 1
         for row, end, off, data in chunks(column):
-            data = _folded(data)
-            starts, ends, firsts = spans(off, data)
-            if not len(starts):
-                continue
-            ends, mark = _trim(data, starts, ends)
-            hashes = _entries(data, starts, ends)
-            weight = self._matches(hashes)
-            threat = _member(hashes[0], self.threats)
-            hit = (weight > 0) | threat
-            # clauses end at a closing mark, a line end and a document's end
-            lines = np.zeros(len(data) + 1, np.int64)
-            np.cumsum(data == 10, out=lines[1:])
-            new = np.zeros(len(starts), bool)
-            new[1:] = mark[:-1] | (lines[starts[1:]] != lines[starts[:-1]])
-            new[firsts[:-1][firsts[:-1] < len(starts)]] = True
-            clause = np.cumsum(new)
-            bounds = np.flatnonzero(new)
-            bounds = np.append(bounds, len(starts))
-            owner = np.searchsorted(firsts, np.arange(len(starts)), "right") - 1
-            total, top = np.zeros(end - row), np.zeros(end - row)
-            for c in np.unique(clause[hit]):
-                a, b = bounds[c - clause[0]], bounds[c - clause[0] + 1]
-                own = hashes[0, a:b]
-                kind = np.zeros(b - a, np.int8)
-                for k, listed in ((1, self.negations), (2, self.targets), (3, self.reports)):
-                    kind[_member(own, listed)] = k
-                kind[threat[a:b]] = 4
-                value = self._clause(weight[a:b], kind)
-                doc = owner[a]
-                total[doc] += value
-                top[doc] = max(top[doc], value)
-            count = np.diff(firsts)
-            found = np.flatnonzero(weight > 0)
-            matches = np.bincount(owner[found], minlength=end - row)
-            pairs = np.unique(mix(hashes[0, found]) ^ (owner[found].astype(np.uint64) << np.uint64(40)), return_index=True)[1]
-            kinds = np.bincount(owner[found][pairs], minlength=end - row)
+            owner, value, aimed, count = self.clauses(off, data)
+            n = end - row
+            total, top = np.bincount(owner, value, n), np.zeros(n)
+            np.maximum.at(top, owner, value)
             out[row:end, 1:] = np.column_stack([
-                np.log1p(total), top, np.log1p(1000 * total / np.maximum(count, 20)), np.log1p(matches), np.log1p(kinds)
+                np.log1p(total), top, np.log1p(1000 * total / np.maximum(count, 20)), np.log1p(np.bincount(owner, minlength=n)),
+                np.log1p(np.bincount(owner, aimed, n)),
             ])
         return out
 
@@ -221,7 +279,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: Column, key: str = "d
             )
 
     kind = sample.schema["id"].dataType.simpleString()
-    got = sample.mapInArrow(featured, f"id {kind}, y int, x array<double>").orderBy("id").toPandas()
+    got = sample.mapInArrow(featured, f"id {kind}, y int, x array<double>").orderBy("id", "x").toPandas()
     grammar.fit(np.array(got["x"].tolist()).reshape(len(got), len(FEATURES)), got["y"].to_numpy())
     return grammar
 
@@ -230,8 +288,9 @@ def toxicity_scores(docs: DataFrame, grammar: Grammar, toxic: float = 0.7, key:
     """(``key``, score, predicted) for every row of ``docs``; predicted is 1 where the score is at least ``toxic``.
 
     Defined cases: null and empty texts match nothing and get the score of a text without matches; rows that repeat are
-    scored each; null keys come back as null; an empty table gives an empty result; without labels of both kinds every
-    score is 0.5. Nothing but the text is looked at.
+    scored each, and ties are as they are; null keys come back as null; very long texts are read whole; an empty table
+    gives an empty result; without labels of both kinds every score is 0.5; other columns, whatever their names, are not
+    looked at.
     """
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
