@@ -35,6 +35,8 @@ BLOCK = 1 << 25
 END_BYTE, END_WORD = 0xFF, -1
 #: Keys of chunks (16 bytes each) that a task gathers before it sums them.
 PENDING = 1_000_000
+#: Grams from which on a task works off the contexts that it has whole.
+GRAMS = 250_000
 
 
 def grams(off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,44 +144,47 @@ def log_estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Subtrees:
-    """All nodes of contexts of 2 to 4 bytes over distinct grams that are whole in their last two context bytes."""
+    """All nodes of contexts of 2 to 4 bytes over distinct ascending grams that are whole in their last two context bytes.
+
+    The eight decisions of a byte are gone through one at a time, so what is held does not grow with their number.
+    """
 
     def __init__(self, keys: np.ndarray, n: np.ndarray):
-        self.keys, n = keys, n.astype(float)
-        self.levels: list[list[tuple]] = []  # for each bit, from depth 4 to 2: (group of each row, a, b, weight b)
-        self.top: list[tuple] = []  # for each bit, at depth 2: (last bytes, node, a, b, ln Pw)
-        orders = {d: np.argsort(keys & ((1 << (8 * d + 8)) - 1), kind="stable") for d in range(2, DEPTH + 1)}
-        for bit in range(8):
-            one = (keys >> (7 - bit)) & 1
-            below, rows_below, levels = None, None, []
-            for depth in range(DEPTH, 1, -1):
-                order = orders[depth]
-                # the context's bytes and the decisions so far
-                node = (keys[order] & ((1 << (8 * depth + 8)) - 1)) >> (8 - bit)
-                new = np.flatnonzero(np.diff(node, prepend=-1))
-                group = np.empty(len(keys), np.int64)
-                group[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(keys))))
-                a, b = np.bincount(group, n * (1 - one), len(new)), np.bincount(group, n * one, len(new))
-                estimate = log_estimate(a, b)
-                if below is None:
-                    mixture, ratio = estimate, None
-                else:
-                    longer = np.bincount(group[rows_below], below, len(new))
-                    mixture = np.logaddexp(estimate, longer) - np.log(2)
-                    ratio = np.exp(np.clip(estimate - longer, -700, 700))
-                below, rows_below = mixture, order[new]
-                levels.append((group, a, b, ratio))
-            self.levels.append(levels)
-            key = keys[rows_below]
-            self.top.append(((key >> 8) & 0xFFFF, (1 << bit) | ((key & 0xFF) >> (8 - bit)), a, b, mixture))
+        self.keys, self.n = keys, n.astype(float)
+        self.orders = {d: np.argsort(keys & ((1 << (8 * d + 8)) - 1), kind="stable") for d in range(2, DEPTH + 1)}
+
+    def decision(self, bit: int) -> tuple[list[tuple], tuple]:
+        """(group of each row, a, b, weight b) from depth 4 to 2; and (last bytes, node, a, b, ln Pw) at depth 2."""
+        keys, n = self.keys, self.n
+        one = (keys >> (7 - bit)) & 1
+        below, rows_below, levels = None, None, []
+        for depth in range(DEPTH, 1, -1):
+            order = self.orders[depth]
+            # the context's bytes and the decisions so far
+            node = (keys[order] & ((1 << (8 * depth + 8)) - 1)) >> (8 - bit)
+            new = np.flatnonzero(np.diff(node, prepend=-1))
+            group = np.empty(len(keys), np.int64)
+            group[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(keys))))
+            a, b = np.bincount(group, n * (1 - one), len(new)), np.bincount(group, n * one, len(new))
+            estimate = log_estimate(a, b)
+            if below is None:
+                mixture, ratio = estimate, None
+            else:
+                longer = np.bincount(group[rows_below], below, len(new))
+                mixture = np.logaddexp(estimate, longer) - np.log(2)
+                ratio = np.exp(np.clip(estimate - longer, -700, 700))
+            below, rows_below = mixture, order[new]
+            levels.append((group, a, b, ratio))
+        key = keys[rows_below]
+        return levels, ((key >> 8) & 0xFFFF, (1 << bit) | ((key & 0xFF) >> (8 - bit)), a, b, mixture)
 
     def log10_probability(self, above: tuple[np.ndarray, ...]) -> np.ndarray:
         """Of each gram's last byte in its context; above: p and b of the nodes at depth 1 and at depth 0."""
         p1, b1, p0, b0 = above
         x, last, total = self.keys & 0xFF, (self.keys >> 8) & 0xFF, np.zeros(len(self.keys))
-        for bit, levels in enumerate(self.levels):
+        for bit in range(8):
             p = None
-            for group, a, b, ratio in levels:
+            for group, a, b, ratio in self.decision(bit)[0]:
                 own = (b + 0.5) / (a + b + 1)
                 p = own[group] if p is None else (ratio[group] * own[group] + p) / (ratio[group] + 1)
             node = (1 << bit) | (x >> (8 - bit))
@@ -190,22 +195,37 @@ class Subtrees:
         return total
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Subtrees:
-    keys, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[Subtrees]:
+    """Contexts of two bytes one after the other, many small ones at once. The rows come sorted by context.
+
+    A task holds the grams of one context at most (up to 2^24 by definition, far fewer in any text), or GRAMS.
+    """
+    keys, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def made(k: np.ndarray, c: np.ndarray) -> Subtrees:
+        order = np.argsort(k, kind="stable")
+        return Subtrees(k[order], c[order])
+
     for batch in batches:
-        keys.append(batch.column(0).to_numpy())
-        n.append(batch.column(1).to_numpy())
-    keys, n = np.concatenate(keys), np.concatenate(n)
-    order = np.argsort(keys, kind="stable")
-    return Subtrees(keys[order], n[order])
+        keys, n = np.concatenate([keys, batch.column(0).to_numpy()]), np.concatenate([n, batch.column(1).to_numpy()])
+        if len(keys) > GRAMS:
+            context = (keys >> 8) & 0xFFFF
+            whole = int(np.flatnonzero(context == context[-1])[0])  # the last context may go on
+            if whole:
+                yield made(keys[:whole], n[:whole])
+                keys, n = keys[whole:], n[whole:]
+    if len(keys):
+        yield made(keys, n)
 
 
 def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for last, node, a, b, mixture in _whole(batches).top:
-        # one row for each last byte and node; Spark sums them over tasks
-        slot, at = np.unique((last & 0xFF) << 8 | node, return_inverse=True)
-        sums = [np.bincount(at, v, len(slot)) for v in (a, b, mixture)]
-        yield pa.RecordBatch.from_arrays([pa.array(slot), *map(pa.array, sums)], names=["slot", "a", "b", "longer"])
+    for tree in subtrees(batches):
+        for bit in range(8):
+            last, node, a, b, mixture = tree.decision(bit)[1]
+            # one row for each last byte and node; Spark sums them over tasks
+            slot, at = np.unique((last & 0xFF) << 8 | node, return_inverse=True)
+            sums = [np.bincount(at, v, len(slot)) for v in (a, b, mixture)]
+            yield pa.RecordBatch.from_arrays([pa.array(slot), *map(pa.array, sums)], names=["slot", "a", "b", "longer"])
 
 
 def _above(tops: DataFrame) -> tuple[np.ndarray, ...]:
@@ -252,7 +272,8 @@ def context_tree_scores(docs: DataFrame, held_out: Column, key: str = "doc_id",
     base_score is their log10 probability by training counts with one added; score is the context tree's log10
     probability of the text and its end, bits_per_byte the code length for each of its bytes, the end counted as one.
 
-    Defined cases: a null text is empty, and only its end is scored; a null ``held_out`` counts as false; rows that
+    Defined cases: a null text is empty, and only its end is scored; a very long text is a block of its own, taken whole;
+    ties do not arise; a null ``held_out`` counts as false; rows that
     repeat are counted and scored each; null keys come back as null; without training texts all decisions have
     probability 1/2; an empty table gives an empty result; other columns are not looked at.
     """
@@ -275,14 +296,15 @@ def context_tree_scores(docs: DataFrame, held_out: Column, key: str = "doc_id",
     total, distinct = int(sizes["n"]), int(sizes["v"])
 
     # contexts that end in the same two bytes go to one task, with all that is below them
-    tree = asked.where("key >= 0 and first").select("key", "c").repartition(F.shiftright("key", 8).bitwiseAND(0xFFFF))
+    context = F.shiftright("key", 8).bitwiseAND(0xFFFF)
+    tree = asked.where("key >= 0 and first").select("key", "c").repartition(context).sortWithinPartitions(context)
     above = _above(tree.mapInArrow(_tops, "slot long, a double, b double, longer double"))
 
     def probabilities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subtrees = _whole(batches)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(subtrees.keys), pa.array(subtrees.log10_probability(above))], names=["key", "value"]
-        )
+        for tree in subtrees(batches):
+            value = tree.log10_probability(above)
+            for at in range(0, len(value), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(tree.keys[at : at + 50_000]), pa.array(value[at : at + 50_000])], names=["key", "value"])
 
     known = tree.mapInArrow(probabilities, "key long, value double")
     answers = asked.where("key >= 0").select("block", "key").join(known, "key").select("block", "key", "value").union(
