@@ -48,7 +48,8 @@ def op4_benchmark_decontamination(spark, sf_dir):
 
 
 def op5_secret_scan(spark, sf_dir):
-    rows = secret_scan.secret_spans(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    rows = secret_scan.secret_spans(docs, secret_scan.corpus_identifiers(docs))
     return _digests(rows, secret_scan.KINDS, secret_scan.BASE_KINDS)
 
 

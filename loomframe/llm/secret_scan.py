@@ -1,20 +1,20 @@
 """Secret scan: base patterns, and zstandard novelty primed with dictionaries.
 
 A candidate is a long string of key characters. Its novelty is what it adds to the compressed size of its surroundings,
-by a compressor that already knows common identifiers: words, names, paths and repeats cost few bytes, keys cost nearly
-all of their entropy. Incompressible candidates in a context that speaks of credentials are reported beside the base
+by a compressor that already knows the identifiers of the corpus: words, names, paths and repeats cost few bytes, keys
+cost nearly all of their entropy. Incompressible candidates in a context that speaks of credentials are reported beside the base
 patterns.
 """
 
 from __future__ import annotations
 
-import builtins
-import keyword
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from .found import Span, scan
 
@@ -43,23 +43,45 @@ BEFORE, AROUND = 48, 256
 NOVELTY = 0.5
 
 
-def _identifiers() -> bytes:
-    """Raw dictionary content: names that code and prose are full of, the likeliest last."""
-    names = [*dir(builtins), *dir(str), *dir(dict), *dir(list), *keyword.kwlist]
-    common = (
-        "https://www.example.com/index.html http:// .org .net localhost username user_name password example changeme "
-        "your_token_here your_api_key xxxxxxxxxxxxxxxx 0000000000000000 0123456789abcdefghijklmnopqrstuvwxyz "
-        "ABCDEFGHIJKLMNOPQRSTUVWXYZ configuration environment authorization application/json Content-Type "
-        "access_key_id secret_access_key api_key = token: Bearer "
-    )
-    return (" ".join(dict.fromkeys(names)) + " " + common).encode()
+#: A name as code has it: before a sign of assignment, call, member or index, or with an underscore inside.
+IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,39}(?=\x20?[=:(.\[])|[A-Za-z]+(?:_[A-Za-z0-9]+)+")
+#: Identifiers of the dictionary at most: the commonest ones.
+IDENTIFIERS = 2048
+#: Placeholders and boilerplate around credentials, known to every compressor.
+COMMON = (
+    "https://www.example.com/index.html http:// .org .net localhost username user_name password example changeme "
+    "your_token_here your_api_key xxxxxxxxxxxxxxxx 0000000000000000 0123456789abcdefghijklmnopqrstuvwxyz "
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZ configuration environment authorization application/json Content-Type "
+    "access_key_id secret_access_key api_key = token: Bearer "
+)
+
+
+def corpus_identifiers(docs: DataFrame, text: str = "text", most: int = IDENTIFIERS) -> list[str]:
+    """The identifiers that stand in the most documents of the whole table, the commonest last; no more than ``most``.
+
+    Long ones with digits are left out: a key that was copied about must not hide itself.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: Counter = Counter()
+            for at in range(0, batch.num_rows, 256):
+                for t in batch.column(0).slice(at, 256).to_pylist():
+                    if t:
+                        seen.update({w for w in IDENTIFIER.findall(t) if len(w) < 16 or not any(c.isdigit() for c in w)})
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+    counts = docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    best = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()
+    return [r["word"] for r in reversed(best)]
 
 
 class _Novelty:
     """Made once in each Python worker."""
 
-    def __init__(self) -> None:
-        primed = zstandard.ZstdCompressionDict(_identifiers(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    def __init__(self, identifiers: list[str]) -> None:
+        content = (" ".join(identifiers) + " " + COMMON).encode()
+        primed = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.compress = zstandard.ZstdCompressor(level=6, dict_data=primed, write_content_size=False).compress
 
     def __call__(self, text: str, start: int, end: int) -> float:
@@ -91,16 +113,17 @@ def novel_spans(text: str, base: list[Span], novelty: _Novelty, least: float) ->
     return out
 
 
-def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = NOVELTY) -> DataFrame:
+def secret_spans(docs: DataFrame, identifiers: list[str], key: str = "doc_id", text: str = "text", least: float = NOVELTY) -> DataFrame:
     """Spans of secrets in every whole text: (``key``, base, added), arrays of (start, end, kind) in code points.
 
-    base holds the kinds assign, access and hex; added holds novel, found by compression, none of which overlaps a base
-    span. Defined cases: null and empty texts have none; rows that repeat are scanned each; null keys come back as null;
-    an empty table gives an empty result; other columns are not looked at.
+    base holds the kinds assign, access and hex; added holds novel, found by compression against the surroundings and the
+    ``identifiers``, none of which overlaps a base span. Defined cases: null and empty texts have none; very long texts
+    are read whole; rows that repeat are scanned each; spans do not tie, as candidates never overlap; null keys come back
+    as null; an empty table gives an empty result; other columns are not looked at.
     """
 
     def find(texts: list[str]) -> Iterator[tuple[list[Span], list[Span]]]:
-        novelty = _Novelty()
+        novelty = _Novelty(identifiers)
         for t in texts:
             base = base_spans(t)
             yield base, novel_spans(t, base, novelty, least)

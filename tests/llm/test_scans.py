@@ -45,10 +45,10 @@ def test_novelty_reports_keys_and_not_names(spark):
     name = "Authorization header: bearer configuration_environment_2"
     far = "The part number is sK9xQ2vLm7Rt4Wz8Yb3N"
     rows = [(1, key), (2, name), (3, far), (4, None), (None, ""), (5, 'token = "abcdef123"')]
-    got = {r["doc_id"]: r for r in secret_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r for r in secret_spans(spark.createDataFrame(rows, "doc_id long, text string"), []).collect()}
     assert [s["kind"] for s in got[1]["added"]] == ["novel"] and got[1]["added"][0]["end"] == len(key)
     assert not any(got[i]["added"] for i in (2, 3, 4, 5, None)) and [s["kind"] for s in got[5]["base"]] == ["assign"]
-    assert secret_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert secret_spans(spark.createDataFrame([], "doc_id long, text string"), []).count() == 0
 
 
 def test_listing_is_in_code_points_by_start_then_kind(spark):
@@ -59,18 +59,65 @@ def test_listing_is_in_code_points_by_start_then_kind(spark):
     assert got == {1: "email:3:9,phone:10:22,email:23:29", 2: ""}
 
 
-def test_judge_accepts_what_resembles_tested_kinds(spark):
+def test_planted_keys_are_found_with_stated_precision_and_recall(spark):
+    import random
+    import string
+
+    draw = random.Random(11)
+    name = lambda: "_".join(draw.choice(["request", "handler", "session", "cache", "worker", "config", "value2"]) for _ in range(4))
+    key = lambda: "".join(draw.choice(string.ascii_letters + string.digits) for _ in range(draw.randrange(20, 44)))
+    rows = []
+    for i in range(300):
+        word = key() if i % 2 else name() + "_v2"
+        rows.append((i, f"def {name()}(x):\n    return {name()}.load()\nheaders['Authorization'] {draw.choice(['bearer', 'credential', 'private'])} {word}\n", i % 2))
+    rows += [(None, None, 0), (1000, "", 0), (1, rows[1][1], 1), (1001, "private " + key() + " x" * 300_000, 1)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t, _ in rows], "doc_id long, text string, base int")
+    identifiers = secret_scan.corpus_identifiers(docs)
+    assert "request" not in identifiers and any("_" in w for w in identifiers)
+    found = {r["doc_id"]: len(r["added"]) for r in secret_spans(docs, identifiers).collect()}
+    hits = [label for i, _, label in rows if found[i]]
+    assert sum(hits) / len(hits) >= 0.9 and sum(hits) >= 0.95 * sum(label for *_, label in rows)
+
+
+def planted(n, seed):
+    """Documents with personal data as the base patterns read it, and others with it in evasive forms, or in none that holds."""
     import random
 
-    draw = random.Random(2)
-    number = lambda: f"+1 ({draw.randrange(200, 999)}) 555-{draw.randrange(1000, 9999)}"
-    docs = [(i, f"call me at {number()} or write, order {draw.randrange(10**8, 10**10)} of {draw.randrange(3000)}") for i in range(400)]
-    docs += [(1000, "call me at (415) 555-0199 today")]
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
-    judge = fit_judge(frame)
-    got = {r["doc_id"]: r for r in personal_spans(frame, judge).collect()}
-    assert sum(len(r["base"]) == 1 for r in got.values()) == 400
-    assert all(r["added"] == [] for i, r in got.items() if i < 1000)
+    draw = random.Random(seed)
+    words = ["river", "stone", "green", "walk", "paper", "light", "seven"]
+    prose = lambda k: " ".join(draw.choice(words) for _ in range(k))
+
+    def item(kind):
+        if kind == "email":
+            return f"{draw.choice(words)}.{draw.randrange(99)}@mail{draw.randrange(9)}.example.com"
+        if kind == "ip":
+            return ".".join(str(draw.randrange(256)) for _ in range(4))
+        if kind == "phone":
+            return f"+1 ({draw.randrange(200, 999)}) 555-{draw.randrange(1000, 9999)}"
+        digits = "4" + "".join(str(draw.randrange(10)) for _ in range(14))
+        return next(digits + c for c in "0123456789" if luhn(digits + c))
+
+    known, hidden = [], []
+    for i in range(n):
+        kind = personal_data.KINDS[i % 4]
+        known.append((i, f"{prose(8)} {item(kind)} {prose(8)}", None))
+        good, wrong = personal_data.rewritten(item(kind), kind, draw)
+        hidden.append((n + i, f"{prose(8)} {good if i % 8 < 4 else wrong} {prose(8)}", i % 8 < 4))
+    return known, hidden
+
+
+def test_evasive_forms_are_found_with_stated_precision_and_recall(spark):
+    known, hidden = planted(800, 3)
+    odd = [(None, None), (5000, ""), (5001, "x" * 300_000 + " a (at) b (dot) com"), (0, known[0][1])]
+    docs = spark.createDataFrame([(i, t, "z") for i, t, _ in known + hidden] + [(i, t, "z") for i, t in odd], "doc_id long, text string, added string")
+    judge = fit_judge(docs.where("doc_id < 800"))
+    assert set(judge.report) == set(personal_data.KINDS)
+    assert all(precision >= 0.9 and recall >= 0.8 and n >= 50 for precision, recall, n in judge.report.values())
+    got = {r["doc_id"]: r for r in personal_spans(docs.where("not (doc_id <=> 0) "), judge).collect()}
+    hits = [label for i, _, label in hidden if got[i]["added"]]
+    assert sum(hits) / len(hits) >= 0.9 and sum(hits) >= 0.8 * 400
+    assert got[None]["base"] == got[None]["added"] == got[5000]["base"] == []
+    assert personal_spans(docs.limit(0), judge).count() == 0 and fit_judge(docs.limit(0)).report == {}
 
 
 def test_boosted_trees_learn_and_stay_constant_without_contrast():
