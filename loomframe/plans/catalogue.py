@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.aggregates import ARGMAX, ARGMIN, CONCAT, COUNT, MAX, MEAN, MIN, QUANTILE, SELECT_ONE, STDV, SUM, VARIANCE
 from ..operators.frame import Frame
 from ..operators.plots import histogram_rows
-from ..operators.series import Series
+from ..operators.series import Series, columnwise
 from ..operators.text import tf_idf_rows, words
+from .store import Scratch, stash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -482,20 +483,29 @@ def q79_positional_column(t):
     return left.add_column(t.nation.sort("n_nationkey", ascending=False)["n_regionkey"], "r")
 
 
-@query()
+@query("SELECT true AS near, CAST(0 AS BIGINT) AS strangers FROM region WHERE r_regionkey = 0")
 def q80_sample(t):
-    return t.lineitem.sample(0.1, seed=7)
+    line = t.lineitem.add_row_number("row")
+    got = Frame.of(stash(line.sample(0.1, seed=7).df, "sample"))
+    n = line.num_rows()
+    return reduced(t, near=abs(got.num_rows() - 0.1 * n) < 5 * (0.09 * n) ** 0.5, strangers=got.num_rows() - line.filterby(got["row"], "row").num_rows())
 
 
-@query()
+@query("SELECT o_custkey, true AS own FROM orders GROUP BY 1")
 def q81_select_one(t):
-    return t.orders.groupby("o_custkey", {"one": SELECT_ONE("o_orderkey")})
+    got = t.orders.groupby("o_custkey", {"one": SELECT_ONE("o_orderkey"), "all": CONCAT("o_orderkey")}).df
+    return got.select("o_custkey", F.array_contains("all", F.col("one")).alias("own"))
 
 
-@query("SELECT count(*) AS n, count(*) AS both_parts FROM orders")
+@query("SELECT count(*) AS rows_of_both, count(DISTINCT o_orderkey) AS keys, CAST(0 AS BIGINT) AS shared, CAST(sum(o_orderkey) AS BIGINT) AS total, true AS near FROM orders")
 def q82_random_split(t):
     a, b = t.orders.random_split(0.3, seed=5)
-    return reduced(t, n=t.orders.num_rows(), both_parts=a.num_rows() + b.num_rows())
+    both = a.append(b)
+    return reduced(
+        t, rows_of_both=both.num_rows(), keys=both.select_columns(["o_orderkey"]).unique().num_rows(),
+        shared=a.filterby(b["o_orderkey"], "o_orderkey").num_rows(), total=both["o_orderkey"].sum(),
+        near=abs(a.num_rows() - 0.3 * both.num_rows()) < 5 * (0.21 * both.num_rows()) ** 0.5,
+    )
 
 
 @query(f"""WITH w AS (SELECT doc, word, count(*) AS n FROM ({_WORDS}) WHERE word <> '' GROUP BY 1, 2),
@@ -505,3 +515,205 @@ def q82_random_split(t):
 def q83_tf_idf_all_words(t):
     docs = t.documents.df.select("doc_id", words(F.regexp_replace("text", r"^\s+|\s+$", "")).alias("items"))
     return tf_idf_rows(docs, "doc_id", "items").withColumn("tf_idf", F.round("tf_idf", 6))
+
+
+# --- readers and writers: what is written comes back --------------------------------------------------------------
+def _folder(t: Tables) -> str:
+    return Scratch(t.spark, "round-trip").folder
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def q84_csv_round_trip(t):
+    path = f"{_folder(t)}/customer.csv"
+    t.customer.select_columns(["c_custkey", "c_name", "c_acctbal", "c_mktsegment"]).save(path)
+    return Frame.read_csv(path, column_type_hints={"c_custkey": int, "c_acctbal": float})
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation")
+def q85_csv_inferred_types(t):
+    path = f"{_folder(t)}/nation.csv"
+    t.nation.select_columns(["n_nationkey", "n_name"]).save(path)
+    return Frame(path)
+
+
+@query("SELECT 'width' AS kind, n_name || ',1,2' AS line FROM nation UNION ALL SELECT 'good', n_name FROM nation")
+def q86_csv_with_errors(t):
+    path = f"{_folder(t)}/bad.csv"
+    nation = t.nation
+    lines = nation["n_name"].apply(columnwise(lambda c: F.concat(c, F.lit(",1"))), str).append(nation["n_name"].apply(columnwise(lambda c: F.concat(c, F.lit(",1,2"))), str))
+    lines.save(path, format="text")  # the first line tells the width
+    good, bad = Frame.read_csv_with_errors(path, header=False)
+    wrong = bad["width"].to_dataframe("line").select(F.lit("width").alias("kind"), "line")
+    return wrong.union(good.df.select(F.lit("good"), F.col("`X.0`")))
+
+
+@query("SELECT r_name AS text FROM region")
+def q87_text_read(t):
+    path = f"{_folder(t)}/region.txt"
+    t.region["r_name"].save(path)
+    return Frame.read_text(path)
+
+
+@query("SELECT * FROM supplier")
+def q88_saved_frame(t):
+    path = f"{_folder(t)}/supplier"
+    t.supplier.save(path)
+    return Frame.load(path)
+
+
+@query("SELECT * FROM part WHERE p_size > 10")
+def q89_parquet_round_trip(t):
+    path = f"{_folder(t)}/part.parquet"
+    part = Frame.read_parquet(f"{t.sf_dir}/part.parquet")
+    part[part["p_size"] > 10].save_as_parquet(path)
+    return Frame(path)
+
+
+@query("SELECT CAST(p_size AS BIGINT) AS v FROM part")
+def q90_series_round_trip(t):
+    path = f"{_folder(t)}/sizes"
+    t.part["p_size"].save(path)
+    return Frame.from_series(Series(path).astype(int), "v")
+
+
+@query("SELECT CAST(p_size AS BIGINT) AS v FROM part")
+def q91_series_text_round_trip(t):
+    path = f"{_folder(t)}/sizes.txt"
+    t.part["p_size"].save(path, format="text")
+    return Frame.from_series(Series(path, int), "v")
+
+
+# --- positions ----------------------------------------------------------------------------------------------------
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 15")
+def q92_tail(t):
+    return t.orders.sort("o_orderkey").select_columns(["o_orderkey"]).tail(15)
+
+
+@query("SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS id, l_orderkey, l_linenumber FROM lineitem")
+def q93_row_number_of_many(t):
+    line = t.lineitem.sort(["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    return line.add_row_number("id").select_columns(["id", "l_orderkey", "l_linenumber"])
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def q94_topk_mask(t):
+    orders = t.orders.sort("o_orderkey")
+    return orders[orders["o_totalprice"].topk_index(20)].select_columns(["o_orderkey"])
+
+
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) WHERE i = 1000 OR i = 5")
+def q95_index(t):
+    orders = t.orders.sort("o_orderkey").select_columns(["o_orderkey"])
+    return t.spark.createDataFrame([(orders[1000]["o_orderkey"],), (orders[5]["o_orderkey"],)], "o_orderkey long")
+
+
+# --- functions of values, with Python's meaning -------------------------------------------------------------------
+@query("SELECT o_orderkey, (((o_custkey - 500) % 7) + 7) % 7 AS v FROM orders")
+def q96_apply_modulo(t):
+    orders = t.orders.select_columns(["o_orderkey", "o_custkey"])
+    orders["v"] = (orders["o_custkey"] - 500).apply(lambda x: x % 7, int)
+    return orders.select_columns(["o_orderkey", "v"])
+
+
+@query("SELECT * FROM nation WHERE length(n_name) % 2 = 0")
+def q97_filterby_function(t):
+    return t.nation.filterby(lambda name: len(name) % 2 == 0, "n_name")
+
+
+@query("SELECT * FROM nation WHERE n_nationkey > n_regionkey * 6")
+def q98_filterby_row_function(t):
+    return t.nation.filterby(lambda r: r["n_nationkey"] > r["n_regionkey"] * 6)
+
+
+@query("SELECT l_quantity AS v FROM lineitem WHERE CAST(l_quantity AS BIGINT) % 3 = 1")
+def q99_series_filter(t):
+    return Frame.from_series(t.lineitem["l_quantity"].filter(lambda q: int(q) % 3 == 1), "v")
+
+
+@query("SELECT unnest(string_split(r_name, 'A')) AS v FROM region")
+def r01_series_flat_map(t):
+    return Frame.from_series(t.region["r_name"].flat_map(lambda s: s.split("A"), str, skip_undefined=False), "v")
+
+
+@query("SELECT n_nationkey * 10 + n_regionkey AS v FROM nation")
+def r02_frame_apply(t):
+    return Frame.from_series(t.nation.apply(lambda r: r["n_nationkey"] * 10 + r["n_regionkey"], int), "v")
+
+
+@query("SELECT n_regionkey AS n_nationkey, n_nationkey AS n_regionkey, n_name FROM nation")
+def r03_transform_cols(t):
+    nation = t.nation.select_columns(["n_nationkey", "n_regionkey", "n_name"])
+    got = nation.transform_cols(["n_nationkey", "n_regionkey"], lambda r: [r["n_regionkey"], r["n_nationkey"]], [int, int])
+    return got.select_columns(["n_nationkey", "n_regionkey", "n_name"])
+
+
+# --- the rest -----------------------------------------------------------------------------------------------------
+@query("SELECT n_regionkey, list(n_name ORDER BY n_name) AS names FROM nation GROUP BY 1")
+def r04_unstack_dict(t):
+    got = t.nation.unstack(["n_name", "n_nationkey"], "m").df
+    return got.select("n_regionkey", F.array_sort(F.map_keys("m")).alias("names"))
+
+
+@query("SELECT n_nationkey, [length(n_name) - 1, 2] AS v FROM nation")
+def r05_character_ngrams(t):
+    nation = t.nation
+    m = nation["n_name"]._count_ngrams(2, "character", ignore_space=False).expr
+    total = F.aggregate(F.map_values(m), F.lit(0).cast("long"), lambda a, n: a + n)
+    return nation.df.select("n_nationkey", F.array(total, F.lit(2).cast("long")).alias("v"))
+
+
+@query("SELECT event_id, 'k' AS k, CAST(json_extract(props, '$.k') AS BIGINT) AS v FROM events")
+def r06_dict_keys_and_values(t):
+    events = Frame.of(t.events.df.select("event_id", F.from_json("props", "map<string,bigint>").alias("props")))
+    events["k"], events["v"] = events["props"].dict_keys()["X.0"], events["props"].dict_values()["X.0"]
+    return events.select_columns(["event_id", "k", "v"])
+
+
+@query("SELECT l_shipmode AS m FROM (SELECT l_returnflag AS l_shipmode FROM lineitem) GROUP BY 1")
+def r07_series_unique(t):
+    return Frame.from_series(t.lineitem["l_returnflag"].unique(), "m")
+
+
+@query("SELECT n_name AS v FROM nation UNION ALL SELECT r_name FROM region")
+def r08_series_append(t):
+    return Frame.from_series(t.nation["n_name"].append(t.region["r_name"]), "v")
+
+
+@query("SELECT quantile_disc(o_totalprice, 0.25) AS q, count_if(o_totalprice = 0) AS zero, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS f FROM orders")
+def r09_sketch_quantile_frequency(t):
+    price, status = t.orders["o_totalprice"].sketch_summary(), t.orders["o_orderstatus"].sketch_summary()
+    price.set_quantile_accumulator_parms(epsilon=1e-7)
+    return reduced(t, q=price.quantile(0.25), zero=price.frequency_count(0.0), f=status.frequency_count("F"))
+
+
+@query("SELECT count(*) AS n, min(x) AS low, max(x) AS high, (SELECT avg(len(embedding)) FROM embeddings) AS width FROM (SELECT unnest(embedding) AS x FROM embeddings)")
+def r10_element_summary(t):
+    sketch = t.embeddings["embedding"].sketch_summary()
+    inner = sketch.element_summary()
+    return reduced(t, n=inner.size(), low=inner.min(), high=inner.max(), width=sketch.avg_length())
+
+
+@query("SELECT p_partkey, p_size AS size FROM part WHERE p_size <> 7 UNION ALL SELECT -p_partkey, NULL FROM part WHERE p_size = 7")
+def r11_dropna_split(t):
+    good, bad = Frame.of(t.part.df.select("p_partkey", F.expr("nullif(p_size, 7)").alias("size"))).dropna_split()
+    return good.df.union(bad.df.select(-F.col("p_partkey"), "size"))
+
+
+@query("SELECT o_orderkey, o_custkey AS o_totalprice FROM orders")
+def r12_replace_column(t):
+    orders = t.orders.select_columns(["o_orderkey", "o_custkey", "o_totalprice"])
+    return orders.replace_column("o_totalprice", orders["o_custkey"]).remove_column("o_custkey")
+
+
+@query("SELECT CAST(7 AS BIGINT) AS v, n_name FROM nation")
+def r13_constant_and_pandas(t):
+    nation = Frame(t.nation.to_pandas_dataframe()[["n_name"]])
+    return nation.add_column(Series.from_const(7, 25), "v").select_columns(["v", "n_name"])
+
+
+@query("SELECT a, b FROM (VALUES (1), (2)) x(a), (VALUES ('u'), ('v'), ('w')) y(b)")
+def r14_cross_product_of_options(t):
+    from ..sources.readers import crossproduct
+
+    return Frame.of(crossproduct({"a": [1, 2], "b": ["u", "v", "w"]}).df.select(F.col("a").cast("int").alias("a"), "b"))
+
