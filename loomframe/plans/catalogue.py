@@ -424,14 +424,20 @@ def q70_frequent_items(t):
 _WORDS = "SELECT doc_id AS doc, unnest(string_split_regex(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '\\s+')) AS word FROM documents"
 
 
-@query(f"""WITH w AS (SELECT doc, word, count(*) AS n FROM ({_WORDS}) WHERE word <> '' GROUP BY 1, 2),
+_TF_IDF = f"""WITH w AS (SELECT doc, word, count(*) AS n FROM ({_WORDS}) WHERE word <> '' GROUP BY 1, 2),
  m AS (SELECT doc, max(n) AS most FROM w GROUP BY 1), c AS (SELECT word, sum(n) AS total FROM w GROUP BY 1)
  SELECT w.doc, w.word, round((0.5 + 0.5 * n / most) * ln(((SELECT count(*) FROM documents) + 1.0) / (total + 1)), 6) AS tf_idf
- FROM w JOIN m ON w.doc = m.doc JOIN c ON w.word = c.word WHERE w.word = 'the' OR w.word = 'la'""")
-def q71_tf_idf(t):
+ FROM w JOIN m ON w.doc = m.doc JOIN c ON w.word = c.word"""
+
+
+def _tf_idf_of_documents(t):
     docs = t.documents.df.select("doc_id", words(F.regexp_replace("text", r"^\s+|\s+$", "")).alias("items"))
-    scored = tf_idf_rows(docs, "doc_id", "items").where("word in ('the', 'la')")
-    return scored.withColumn("tf_idf", F.round("tf_idf", 6))
+    return tf_idf_rows(docs, "doc_id", "items").withColumn("tf_idf", F.round("tf_idf", 6))
+
+
+@query(_TF_IDF)
+def q71_tf_idf(t):
+    return _tf_idf_of_documents(t)
 
 
 @query(f"SELECT doc, count(*) AS n, count(DISTINCT word) AS kinds FROM ({_WORDS}) WHERE word <> '' GROUP BY 1")
@@ -508,13 +514,9 @@ def q82_random_split(t):
     )
 
 
-@query(f"""WITH w AS (SELECT doc, word, count(*) AS n FROM ({_WORDS}) WHERE word <> '' GROUP BY 1, 2),
- m AS (SELECT doc, max(n) AS most FROM w GROUP BY 1), c AS (SELECT word, sum(n) AS total FROM w GROUP BY 1)
- SELECT w.doc, w.word, round((0.5 + 0.5 * n / most) * ln(((SELECT count(*) FROM documents) + 1.0) / (total + 1)), 6) AS tf_idf
- FROM w JOIN m ON w.doc = m.doc JOIN c ON w.word = c.word""")
+@query(_TF_IDF)
 def q83_tf_idf_all_words(t):
-    docs = t.documents.df.select("doc_id", words(F.regexp_replace("text", r"^\s+|\s+$", "")).alias("items"))
-    return tf_idf_rows(docs, "doc_id", "items").withColumn("tf_idf", F.round("tf_idf", 6))
+    return _tf_idf_of_documents(t)
 
 
 # --- readers and writers: what is written comes back --------------------------------------------------------------
