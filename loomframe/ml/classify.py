@@ -6,7 +6,8 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, NaiveBayes
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import functions as F
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window, functions as F
 
 from ..operators.frame import Frame
 from ..operators.series import Series
@@ -59,6 +60,34 @@ class ClassificationModel:
         rows = self._predicted(data.add_column(labels, LABEL)).withColumn(LABEL, F.col(LABEL).cast("double"))
         return BinaryClassificationEvaluator(labelCol=LABEL).evaluate(rows)
 
+    def sweep(self, data: Frame, labels: Series, steps: int = 100) -> Frame:
+        """The points of the ROC and the precision/recall curve: counts and rates at the thresholds 0, 1/steps ... 1.
+
+        A row is positive at a threshold that its score reaches. The score is the probability of class 1, or for models
+        without one the logistic function of the margin. Rates are null where nothing divides. One grouped count over the
+        rows; what follows has steps + 1 rows.
+        """
+        rows = self._predicted(data.add_column(labels, LABEL))
+        if "probability" in rows.columns:
+            score = vector_to_array("probability")[1]
+        else:
+            score = 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))
+        rows = rows.select(score.alias("score"), (F.col(LABEL).cast("double") == 1).alias("y"))
+        near = F.round(F.col("score") * steps)
+        slot = F.when(F.col("score") >= near / steps, near).otherwise(near - 1).cast("long")
+        counted = rows.groupBy(slot.alias("id")).agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
+        at = data.df.sparkSession.range(steps + 1).join(counted, "id", "left").fillna(0, ["pos", "neg"])
+        reached, everything = Window.orderBy(F.desc("id")), Window.partitionBy()
+        at = at.select(
+            (F.col("id") / steps).alias("threshold"), *(F.sum(n).over(reached).alias(c) for n, c in (("pos", "tp"), ("neg", "fp"))),
+            *(F.sum(n).over(everything).alias(f"all_{n}") for n in ("pos", "neg")),
+        )
+        share = lambda a, b: F.try_divide(F.col(a).cast("double"), b)
+        return Frame.of(at.select(
+            "threshold", "tp", "fp", (F.col("all_pos") - F.col("tp")).alias("fn"), (F.col("all_neg") - F.col("fp")).alias("tn"),
+            share("tp", F.col("tp") + F.col("fp")).alias("precision"), share("tp", F.col("all_pos")).alias("tpr"), share("fp", F.col("all_neg")).alias("fpr"),
+        ))
+
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(path)
 

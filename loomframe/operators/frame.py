@@ -719,10 +719,11 @@ class Frame:
     def to_pandas_dataframe(self):
         return self.df.toPandas()
 
-    def save(self, filename: str, format: str | None = None) -> None:
+    def save(self, filename: str, format: str | None = None, one_file: bool = True) -> None:
+        """CSV and text are one file; without ``one_file`` a folder of files, written in parallel, for large tables."""
         from ..sources.writers import save_frame
 
-        save_frame(self, filename, format)
+        save_frame(self, filename, format, one_file)
 
     def save_as_parquet(self, filename: str, column_names=None, column_type_hints=None) -> None:
         from ..sources.writers import save_parquet

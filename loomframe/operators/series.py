@@ -557,10 +557,11 @@ class Series:
     def to_rdd(self, number_of_partitions: int = 4):
         return self.to_dataframe().repartition(number_of_partitions).rdd.map(lambda r: r[0])
 
-    def save(self, filename: str, format: str | None = None) -> None:
+    def save(self, filename: str, format: str | None = None, one_file: bool = True) -> None:
+        """CSV and text are one file; without ``one_file`` a folder of files, written in parallel, for large tables."""
         from ..sources.writers import save_series
 
-        save_series(self, filename, format)
+        save_series(self, filename, format, one_file)
 
 
 def columnwise(fn: Callable) -> Callable:
@@ -628,7 +629,7 @@ def read_series(spark: SparkSession, path: str, dtype) -> Series:
     """A saved series, or the lines of a text file with their type found from the first 100."""
     from ..sources.readers import is_directory
 
-    if is_directory(spark, path):
+    if is_directory(spark, path) and not path.endswith((".txt", ".csv")):
         got = Series.rows(spark.read.parquet(path), Lineage.of(path, [VALUE]))
         return got if dtype is None else got.astype(dtype)
     lines = spark.read.text(path)

@@ -25,14 +25,22 @@ def _one_file(df, path: str, write) -> None:
     fs.delete(parts, True)
 
 
-def save_frame(frame, path: str, format: str | None = None) -> None:
+def _written(df, path: str, one_file: bool, write) -> None:
+    """One file, which is one task's work, or a folder of files that all tasks write."""
+    if one_file:
+        _one_file(df, path, write)
+    else:
+        write(df.write.mode("overwrite"), path)
+
+
+def save_frame(frame, path: str, format: str | None = None, one_file: bool = True) -> None:
     if format is None:
         format = "csv" if path.endswith((".csv", ".csv.gz")) else "parquet" if path.endswith(".parquet") else "binary"
     elif format in ("csv", "parquet") and not path.endswith(f".{format}"):
         path = f"{path}.{format}"
     if format == "csv":
         flat = frame.df.select(*(F.to_json(F.col(quoted(f.name))).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(quoted(f.name)) for f in frame.df.schema))
-        _one_file(flat, path, lambda w, p: w.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(p, header=True))
+        _written(flat, path, one_file, lambda w, p: w.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(p, header=True))
     elif format == "parquet":
         save_parquet(frame, path)
     elif format == "binary":
@@ -55,13 +63,13 @@ def save_parquet(frame, path: str, column_names=None, column_type_hints=None) ->
     df.toDF(*names).write.mode("overwrite").parquet(path)
 
 
-def save_series(series, path: str, format: str | None = None) -> None:
+def save_series(series, path: str, format: str | None = None, one_file: bool = True) -> None:
     df = series.to_dataframe("value")
     format = format or ("text" if path.endswith(".txt") else "csv" if path.endswith(".csv") else "binary")
     if format == "text":
-        _one_file(df.select(F.col("value").cast("string")), path, lambda w, p: w.text(p))
+        _written(df.select(F.col("value").cast("string")), path, one_file, lambda w, p: w.text(p))
     elif format == "csv":
-        _one_file(df, path, lambda w, p: w.csv(p))
+        _written(df, path, one_file, lambda w, p: w.csv(p))
     elif format == "binary":
         df.write.mode("overwrite").parquet(path)
     else:

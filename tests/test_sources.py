@@ -1,4 +1,5 @@
 import gzip
+import math
 
 import pytest
 
@@ -67,6 +68,45 @@ def test_text_and_round_trips(tmp_path):
     assert len(crossproduct({"a": [1, 2], "b": ["x", "y", "z"]})) == 6
 
 
+def test_folders_of_files_come_back(tmp_path):
+    f = Frame({"id": list(range(40)), "val": [f"v{i}" for i in range(40)]})
+    wide = Frame.of(f.df.repartition(4))
+    wide.save(str(tmp_path / "many.csv"), one_file=False)
+    assert len(list((tmp_path / "many.csv").glob("part-*"))) == 4
+    assert sorted(Frame(str(tmp_path / "many.csv")).head_as_list(99)) == sorted(f.head_as_list(99))
+    wide.save(str(tmp_path / "many.csv"), one_file=False)  # takes the place of what was there
+    assert Frame(str(tmp_path / "many.csv")).num_rows() == 40
+    for name in ("s.txt", "s.csv"):
+        wide["id"].save(str(tmp_path / name), one_file=False)
+        assert (tmp_path / name).is_dir() and sorted(Series(str(tmp_path / name))) == list(range(40))
+
+
+def test_sweep_against_plain_counts():
+    from pyspark.ml.functions import vector_to_array
+
+    from loomframe import ml
+
+    f = Frame({"x": [float(i % 7) for i in range(60)], "z": [float(i % 5) for i in range(60)]})
+    label = Series([int((i * 7919) % 11 < i % 7) for i in range(60)])
+    for kind in ("LogisticRegression", "DecisionTree", "SVM"):
+        model = ml.create_classifier(f, label, kind)
+        got = model.model.transform(f.df)
+        if "probability" in got.columns:
+            scores = [r[0] for r in got.select(vector_to_array("probability")[1]).collect()]
+        else:
+            scores = [1 / (1 + math.exp(-r[0])) for r in got.select(vector_to_array("rawPrediction")[1]).collect()]
+        y = list(label)
+        rows = model.sweep(f, label, steps=20).df.orderBy("threshold").collect()
+        assert len(rows) == 21
+        for i, r in enumerate(rows):
+            tp, fp = (sum(s >= i / 20 and t == c for s, t in zip(scores, y, strict=True)) for c in (1, 0))
+            assert (r["threshold"], r["tp"], r["fp"], r["fn"], r["tn"]) == (i / 20, tp, fp, sum(y) - tp, len(y) - sum(y) - fp)
+            assert r["tpr"] == tp / sum(y) and r["precision"] == (tp / (tp + fp) if tp + fp else None)
+    assert rows[0]["fpr"] == 1.0
+    nothing = model.sweep(f, Series([0] * 60), steps=2).df.collect()
+    assert all(r["tpr"] is None and r["tp"] == 0 for r in nothing)
+
+
 def test_models(tmp_path):
     from loomframe import ml
 
