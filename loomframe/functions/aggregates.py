@@ -12,13 +12,17 @@ from .missing import present
 
 @dataclass(frozen=True)
 class Aggregator:
-    """A named aggregation of columns. ``make`` gets the columns, their types, and a tie-breaking order column or None."""
+    """A named aggregation of columns. ``make`` gets the columns, their types, and a tie-breaking order column or None.
+
+    With ``quantiles``, it gives what is ranked, which needs steps of its own: see ``exact_quantiles``.
+    """
 
     name: str
     columns: tuple[str, ...]
     make: Callable[..., Column]
     ordered: bool = False
     output: str | None = None
+    quantiles: tuple[float, ...] = ()
 
     def default_name(self) -> str:
         return self.output or (f"{self.name}_of_{self.columns[-1]}" if self.columns else self.name)
@@ -106,16 +110,13 @@ def CONCAT(src_column: str, dict_value_column: str | None = None) -> Aggregator:
 
 
 def QUANTILE(src_column: str, *quantiles) -> Aggregator:
-    """Approximate quantiles (rank error 1/10000): a number for one quantile, a list for several."""
+    """Exact quantiles, each a value of the group (no interpolation): a number for one quantile, a list for several."""
     wanted = list(quantiles[0]) if quantiles and isinstance(quantiles[0], (list, tuple)) else list(quantiles)
     if not wanted:
         raise ValueError("QUANTILE needs at least one quantile")
-
-    def make(c, kinds, order):
-        ask = wanted if len(wanted) > 1 else wanted[0]
-        return F.percentile_approx(present(c[0], kinds[0]), ask, 10_000)
-
-    return Aggregator("quantile", (src_column,), make, output="quantile")
+    if not all(0 <= q <= 1 for q in wanted):
+        raise ValueError("quantile: from 0 to 1")
+    return Aggregator("quantile", (src_column,), lambda c, kinds, order: present(c[0], kinds[0]), output="quantile", quantiles=tuple(wanted))
 
 
 #: Aggregators by name, as they may be given in text.

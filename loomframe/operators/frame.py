@@ -19,6 +19,7 @@ from ..plans.lineage import COUNT, DATAFRAME, EMPTY, HIVE, INDEX, PANDAS, PROGRA
 from ..plans.order import POSITION, aligned, fresh, quoted, row_order, with_position
 from ..plans.session import session
 from ..plans.store import stash
+from .quantiles import exact_quantiles
 from .series import Series, native, sliced
 
 
@@ -549,16 +550,24 @@ class Frame:
         if any(a.ordered for _, a in named):
             df = df.withColumn(POSITION, row_order())
             order = F.col(POSITION)
-        lineage, exprs, taken = self._lineage.select(keys), [], list(keys)
+        lineage, exprs, ranked, taken = self._lineage.select(keys), [], {}, list(keys)
         for name, a in named:
             self._check(a.columns, KeyError)
             name = fresh(taken, name or a.default_name())
             taken.append(name)
-            exprs.append(a.make([col(c) for c in a.columns], kinds_of(self.df.schema, a.columns), order).alias(name))
+            made = a.make([col(c) for c in a.columns], kinds_of(self.df.schema, a.columns), order)
+            if a.quantiles:
+                ranked[name] = exact_quantiles(self.df, [col(k) for k in keys], made, list(a.quantiles)), len(a.quantiles)
+            else:
+                exprs.append(made.alias(name))
             lineage = lineage.put(name, self._lineage.pairs(a.columns[-1:]) if a.columns else frozenset([(COUNT, "")]))
-        if not exprs:
-            return Frame.of(self.df.select(*map(col, keys)).distinct(), lineage)
-        return Frame.of(df.groupBy(*map(col, keys)).agg(*exprs), lineage)
+        got = df.groupBy(*map(col, keys)).agg(*exprs) if exprs else self.df.select(*map(col, keys)).distinct()
+        for name, (rows, n) in ranked.items():
+            theirs = {f"k{i}": f"__key_{i}" for i in range(len(keys))}
+            rows = rows.select(*(F.col(k).alias(v) for k, v in theirs.items()), (F.col("q") if n > 1 else F.get("q", F.lit(0))).alias(name))
+            same = [col(k).eqNullSafe(F.col(v)) for k, v in zip(keys, theirs.values(), strict=True)]
+            got = got.join(rows, same or F.lit(True), "left").drop(*theirs.values())
+        return Frame.of(got.select(*map(col, taken)) if ranked else got, lineage)
 
     # --- reshape ------------------------------------------------------------------------------------------------
     def pack_columns(self, columns=None, column_prefix=None, dtype=list, fill_na=None, remove_prefix=True, new_column_name=None) -> Frame:

@@ -158,6 +158,22 @@ def test_groupby(g):
     assert (got[1]["s"], got[1]["n"], got[1]["l"], got[1]["a"]) == (None, 2, [], None) and got[None]["s"] == 2.0
 
 
+def test_quantiles_are_exact(spark):
+    # the ranks of 0.5 and 0.07 fall on the last of many equal values, which a rank error of one in ten thousand passes
+    values = spark.range(200_000).select(
+        F.when(F.col("id") % 2 == 0, "a").alias("k"), F.when(F.col("id") < 14_000, 0.0).when(F.col("id") < 100_000, 1.0).otherwise(2.0).alias("x")
+    )
+    more = spark.createDataFrame([("gone", None), ("gone", float("nan")), ("one", 7.0)], "k string, x double")
+    got = Frame.of(values.union(more)).groupby("k", {"n": COUNT(), "q": QUANTILE("x", [0.5, 0, 0.07, 1]), "m": QUANTILE("x", 0.5)})
+    assert got.column_names() == ["k", "n", "q", "m"]
+    want = [("a", 100_000, [1.0, 0.0, 0.0, 2.0], 1.0), ("gone", 2, None, None), ("one", 1, [7.0] * 4, 7.0), (None, 100_000, [1.0, 0.0, 0.0, 2.0], 1.0)]
+    assert sorted(map(tuple, got.df.collect()), key=str) == sorted(want, key=str)
+    spread = Frame.of(spark.range(100_000).select(F.lit(1).alias("k"), ((F.col("id") * 7919) % 100_000).alias("x")))
+    assert [r["q"] for r in spread.groupby("k", {"q": QUANTILE("x", [0.25, 0.5, 0.12345])}).df.collect()] == [[24_999, 49_999, 12_344]]
+    with pytest.raises(ValueError):
+        QUANTILE("x", 1.5)
+
+
 def test_missing():
     f = Frame({"id": [1, None, 3], "l": [[1], [], None]})
     assert len(f.dropna()) == 1 and len(f.dropna("id")) == 2 and len(f.dropna(how="all")) == 2 and len(f.dropna([])) == 3
