@@ -20,7 +20,7 @@ from ..plans.order import POSITION, aligned, fresh, quoted, row_order, with_posi
 from ..plans.session import session
 from ..plans.store import stash
 from .quantiles import exact_quantiles
-from .series import Series, native, sliced
+from .series import Series, native, row_at, sliced
 
 
 def col(name: str) -> Column:
@@ -339,10 +339,10 @@ class Frame:
             return self._next(sliced(self.df, key, self.num_rows))
         if isinstance(key, int):
             at = key + self.num_rows() if key < 0 else key
-            got = self.df.offset(at).limit(1).collect() if at >= 0 else []
-            if not got:
+            got = row_at(self.df, at) if at >= 0 else None
+            if got is None:
                 raise IndexError("index out of range")
-            return got[0].asDict()
+            return got.asDict()
         if isinstance(key, (list, tuple)):
             return self.select_columns(key)
         raise TypeError(f"cannot index by {type(key).__name__}")
@@ -360,10 +360,10 @@ class Frame:
         return self[key]
 
     def head(self, n: int = 10) -> Frame:
-        return self._next(self.df.limit(n))
+        return self[: max(0, n)]
 
     def tail(self, n: int = 10) -> Frame:
-        return self[max(0, self.num_rows() - n) :]
+        return self[-n:] if n > 0 else self[:0]
 
     def sample(self, fraction: float, max_partitions: int | None = None, seed: int | None = None) -> Frame:
         if not 0 <= fraction <= 1:

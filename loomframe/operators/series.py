@@ -9,12 +9,12 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from ..functions.missing import missing, truthy
 from ..functions.types import FLOATING, MOMENT, NUMERIC, classify_all, fit, infer, parse_moment, spark_type, tag, text_cast
 from ..plans.lineage import CONST, PROGRAM, RANGE, Lineage
-from ..plans.order import POSITION, aligned, with_position
+from ..plans.order import POSITION, aligned, row_order, with_position
 from ..plans.session import session
 
 VALUE = "value"
@@ -268,17 +268,17 @@ class Series:
             return Series.rows(sliced(self.to_dataframe(), key, self.size), self._lineage)
         if isinstance(key, int):
             at = key + self.size() if key < 0 else key
-            got = self.to_dataframe().offset(at).limit(1).collect() if at >= 0 else []
-            if not got:
+            got = row_at(self.to_dataframe(), at) if at >= 0 else None
+            if got is None:
                 raise IndexError("index out of range")
-            return got[0][0]
+            return got[0]
         raise IndexError(f"cannot index by {type(key).__name__}")
 
     def head(self, n: int = 10) -> Series:
-        return Series.rows(self.to_dataframe().limit(n), self._lineage)
+        return self[: max(0, n)]
 
     def tail(self, n: int = 10) -> Series:
-        return self[max(0, self.size() - n) :]
+        return self[-n:] if n > 0 else self[:0]
 
     def sample(self, fraction: float, max_partitions: int | None = None, seed: int | None = None) -> Series:
         if not 0 <= fraction <= 1:
@@ -606,25 +606,44 @@ def _over(a, b, ka, kb):
     return F.floor(a / b)
 
 
+#: Positions up to which a slice reads that many rows in one task; slices further on go by row positions.
+NEAR = 10_000
+
+
+def last_rows(df: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` of at most ``NEAR`` rows: each task keeps its own last ones, and these are merged, without a count."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    marked = df.toDF(*names).withColumn(POSITION, row_order())
+    return marked.orderBy(F.desc(POSITION)).limit(n).orderBy(POSITION).drop(POSITION).toDF(*df.columns)
+
+
 def sliced(df: DataFrame, key: slice, size: Callable[[], int]) -> DataFrame:
-    """Rows by position; bounds from the end need the number of rows, a beginning alone does not."""
+    """Rows by position; bounds from the end need the number of rows, a beginning or an end alone does not."""
     step = 1 if key.step is None else key.step
     if step < 1:
         raise IndexError("step: positive")
     start, stop = key.start or 0, key.stop
+    if step == 1 and stop is None and -NEAR <= start < 0:
+        return last_rows(df, -start)
     if start < 0 or (stop is not None and stop < 0):
         n = size()
         start, stop = (None if v is None else max(0, v + n) if v < 0 else v for v in (start, stop))
-    if step == 1 and start == 0:
-        return df if stop is None else df.limit(stop)
-    if step == 1:
-        return df.offset(start) if stop is None else df.offset(start).limit(max(0, stop - start))
+    if step == 1 and start == 0 and stop is None:
+        return df
+    if step == 1 and stop is not None and stop <= NEAR:
+        return df.offset(start).limit(max(0, stop - start)) if start else df.limit(stop)
     c = F.col(POSITION)
     keep = (c >= start) & ((c - start) % step == 0)
     rows = with_position(df)
     return rows.where(keep if stop is None else keep & (c < stop)).orderBy(POSITION).drop(POSITION)
 
 
+def row_at(df: DataFrame, at: int) -> Row | None:
+    """The row at a position, or None beyond the last one."""
+    got = sliced(df, slice(at, at + 1), df.count).collect()
+    return got[0] if got else None
+
+
 def read_series(spark: SparkSession, path: str, dtype) -> Series:
     """A saved series, or the lines of a text file with their type found from the first 100."""
     from ..sources.readers import is_directory

@@ -174,6 +174,31 @@ def test_quantiles_are_exact(spark):
         QUANTILE("x", 1.5)
 
 
+def test_slices_far_from_the_beginning_pass_no_single_task(spark):
+    import contextlib
+    import io
+
+    def plan(frame):
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            frame.df.explain()
+        return out.getvalue()
+
+    n = 30_000
+    f = Frame.of(spark.range(n).repartition(7)).sort("id")
+    for part, want in (
+        (f.tail(3), [n - 3, n - 2, n - 1]), (f[-2:], [n - 2, n - 1]), (f[n - 2 :], [n - 2, n - 1]), (f[20_000:20_002], [20_000, 20_001]),
+        (f["id"].tail(2).to_dataframe("id"), [n - 2, n - 1]), (f.tail(n - 1), list(range(1, n))), (f.head(n - 1), list(range(n - 1))),
+    ):
+        frame = part if isinstance(part, Frame) else Frame.of(part)
+        assert [r["id"] for r in frame.df.collect()] == want
+        text = plan(frame)
+        assert "GlobalLimit" not in text and "CollectLimit" not in text and "offset" not in text.replace("__before", "")
+    assert f[20_001]["id"] == 20_001 and f[-1]["id"] == n - 1 and f["id"][25_000] == 25_000
+    assert f.tail(0).num_rows() == 0 and f.tail(2 * n).num_rows() == n and f[20_000:19_000].num_rows() == 0
+    with pytest.raises(IndexError):
+        f[n]
+
+
 def test_missing():
     f = Frame({"id": [1, None, 3], "l": [[1], [], None]})
     assert len(f.dropna()) == 1 and len(f.dropna("id")) == 2 and len(f.dropna(how="all")) == 2 and len(f.dropna([])) == 3
