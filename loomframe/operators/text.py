@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..plans.order import POSITION, with_position
+from ..plans.store import Scratch
 
 
 def words(c: Column, to_lower: bool = True) -> Column:
@@ -52,18 +59,63 @@ def ngram_counts(c: Column, n: int = 2, method: str = "word", to_lower: bool = T
     return counted(F.coalesce(grams, F.when(units.isNotNull(), F.array().cast("array<string>"))))
 
 
+#: Words whose totals are sent to all tasks, at most; the rows of the other words are exchanged by word.
+FREQUENT = 100_000
+
+
+def document_words(docs: DataFrame, doc: str, items: str) -> DataFrame:
+    """(doc, most, word, n): how often each document has each of its items, and its largest number; each row is a document."""
+    kinds = [docs.schema[doc].dataType, docs.schema[items].dataType.elementType]
+    arrow = [to_arrow_type(k) for k in kinds]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):  # few documents at a time as words
+                part = batch.slice(at, 2048)
+                lists = part.column(1)
+                owner = pc.list_parent_indices(lists).to_numpy().astype(np.int64)
+                coded = pc.list_flatten(lists).dictionary_encode()
+                known = coded.indices.is_valid().to_numpy(zero_copy_only=False)
+                code = coded.indices.fill_null(0).to_numpy().astype(np.int64)[known]
+                size = max(1, len(coded.dictionary))
+                found, n = np.unique(owner[known] * size + code, return_counts=True)
+                of = found // size
+                most = np.zeros(part.num_rows, np.int64)
+                np.maximum.at(most, of, n)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(of)).cast(arrow[0]), pa.array(most[of]), coded.dictionary.take(pa.array(found % size)).cast(arrow[1]), pa.array(n.astype(np.int64))],
+                    names=["doc", "most", "word", "n"],
+                )
+
+    schema = T.StructType([T.StructField("doc", kinds[0]), T.StructField("most", T.LongType()), T.StructField("word", kinds[1]), T.StructField("n", T.LongType())])
+    return docs.select(doc, items).mapInArrow(count, schema)
+
+
 def tf_idf_rows(docs: DataFrame, doc: str, items: str) -> DataFrame:
     """(doc, word, tf_idf): (0.5 + 0.5 count / largest count) times ln((documents + 1) / (occurrences + 1)).
 
     Each row is a document; occurrences counts all occurrences of a word in all documents. A document's own counts are
-    made where it stands, so only (doc, word) rows are exchanged, once, by word.
+    made where it stands and written once. The totals of the most frequent words, a bounded number, are sent to all
+    tasks; only the rows of the others are exchanged by word, and none of these has many rows.
     """
-    own = docs.select(F.col(doc).alias("doc"), counted(F.col(items)).alias("counts"))
-    rows = own.select("doc", F.array_max(F.map_values("counts")).alias("most"), F.explode("counts").alias("word", "n"))
-    total = docs.select(F.explode(F.col(items)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("total"))
-    documents = docs.agg(F.count(F.lit(1)).alias("documents"))
-    value = (0.5 + 0.5 * F.col("n") / F.col("most")) * F.log((F.col("documents") + 1) / (F.col("total") + 1))
-    return rows.join(total, "word").crossJoin(F.broadcast(documents)).select("doc", "word", value.alias("tf_idf"))
+    scratch = Scratch(docs.sparkSession, "tf-idf")
+    rows = scratch.put(document_words(docs, doc, items), "counts")
+    totals = scratch.put(rows.groupBy("word").agg(F.sum("n").alias("total")), "totals")
+    classes = totals.groupBy(F.floor(4 * F.log2("total")).alias("size")).agg(F.count(F.lit(1)).alias("words"), F.min("total").alias("least"))
+    least, room = None, FREQUENT
+    for c in classes.orderBy(F.desc("size")).collect():  # a few hundred rows
+        room -= c["words"]
+        if room < 0:
+            break
+        least = c["least"]
+    value = (0.5 + 0.5 * F.col("n") / F.col("most")) * F.log((docs.count() + 1) / (F.col("total") + 1))
+    wanted = ["doc", "word", value.alias("tf_idf")]
+    if least is None:
+        return rows.join(totals, "word").select(*wanted)
+    often, seldom = totals.where(F.col("total") >= least), totals.where(F.col("total") < least)
+    near = rows.join(F.broadcast(often), "word").select(*wanted)
+    far = rows.join(F.broadcast(often.select("word")), "word", "left_anti").join(seldom, "word").select(*wanted)
+    return near.union(far)
 
 
 def tf_idf(series):

@@ -431,8 +431,9 @@ _TF_IDF = f"""WITH w AS (SELECT doc, word, count(*) AS n FROM ({_WORDS}) WHERE w
 
 
 def _tf_idf_of_documents(t):
-    docs = t.documents.df.select("doc_id", words(F.regexp_replace("text", r"^\s+|\s+$", "")).alias("items"))
-    return tf_idf_rows(docs, "doc_id", "items").withColumn("tf_idf", F.round("tf_idf", 6))
+    rows = tf_idf_rows(t.documents.df.select("doc_id", words(F.col("text")).alias("items")), "doc_id", "items")
+    # half away from zero like round(), which goes through a decimal for each row
+    return rows.withColumn("tf_idf", F.signum("tf_idf") * F.floor(F.abs("tf_idf") * 1e6 + 0.5) / 1e6)
 
 
 @query(_TF_IDF)

@@ -67,3 +67,29 @@ def test_tf_idf_gives_every_word_of_every_document(spark, tmp_path):
     got = catalogue.QUERIES["q83_tf_idf_all_words"](spark, str(tmp_path)).collect()
     assert len(got) == len(want)
     assert {(r["doc"], r["word"]): r["tf_idf"] for r in got} == pytest.approx(want, abs=1e-5)
+
+
+@pytest.mark.parametrize("frequent", [0, 3, 100_000])
+def test_tf_idf_exchanges_only_rows_of_rare_words(spark, monkeypatch, capsys, frequent):
+    from pyspark.sql import functions as F
+
+    from loomframe.operators import text
+
+    monkeypatch.setattr(text, "FREQUENT", frequent)
+    rows = [(i, f"a b a w{i % 50} w{i}") for i in range(200)] + [(None, "a"), (7, "b b"), (8, None), (9, "")]
+    docs = spark.createDataFrame(rows, "d long, t string").select("d", F.split("t", " ").alias("items"))
+    counts = [(i, Counter((t or "").split(" ") if t is not None else [])) for i, t in rows]
+    total = sum((c for _, c in counts), Counter())
+    want = sorted(
+        (str(i), w, round((0.5 + 0.5 * n / max(c.values())) * math.log((len(rows) + 1) / (total[w] + 1)), 8)) for i, c in counts for w, n in c.items()
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = text.tf_idf_rows(docs, "d", "items")
+        got.explain()
+        plan = capsys.readouterr().out
+        assert (plan.count("BroadcastHashJoin"), plan.count("Exchange hashpartitioning")) == {0: (0, 2), 3: (2, 2), 100_000: (2, 2)}[frequent]
+        found = got.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted((str(r["doc"]), r["word"], round(r["tf_idf"], 8)) for r in found) == want
