@@ -12,10 +12,11 @@ numbers, is negative too. Spans of the base patterns always stay.
 
 from __future__ import annotations
 
+import contextlib
 import random
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .fitting import sigmoid
 from .found import Span, scan
+from .stash import stash
 
 KINDS = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -132,17 +134,23 @@ def holds(word: str, kind: str) -> bool:
     return len(last) >= 2 and last.isalpha()
 
 
+def coarse(n: int) -> int:
+    """Numbers from 32 on keep their five leading bits: a description takes few different values, however long the match."""
+    low = max(0, n.bit_length() - 5)
+    return n >> low << low
+
+
 def describe(text: str, span: Span) -> list[float]:
     a, b, kind = span
     word, before, after = text[a:b], text[max(0, a - 40) : a], text[b : b + 20]
     groups = re.findall("[0-9]+", word)
     brackets = sum(map(word.count, "([{<"))
     return [
-        b - a, sum(map(len, groups)), len(groups), max(map(len, groups), default=0), word.count(" "), word.count("-"),
-        word.count("."), word.count("/") + word.count("_"), brackets, len(set(re.findall(r"[^0-9A-Za-z]+", word))),
+        *map(coarse, (b - a, sum(map(len, groups)), len(groups), max(map(len, groups), default=0), word.count(" "), word.count("-"))),
+        *map(coarse, (word.count("."), word.count("/") + word.count("_"), brackets, len(set(re.findall(r"[^0-9A-Za-z]+", word))))),
         float(holds(word, kind)), float(word.startswith(("+", "00", "("))), float(bool(CONTEXT[kind].search(before))),
         float(before[-1:].isalnum()), float(after[:1].isalnum()), float(before[-1:] in ("", "\n")),
-        float(after[:1] in ("", "\n")), len(re.findall("[0-9]+", before + after)),
+        float(after[:1] in ("", "\n")), coarse(len(re.findall("[0-9]+", before + after))),
     ]
 
 
@@ -194,49 +202,35 @@ def lessons(text: str) -> list[tuple[str, list[float], bool, int]]:
     return out
 
 
+#: A gradient is added up as a whole number of this part of one, so sums do not depend on the order of the rows.
+UNIT = 2.0**-34
+#: Steps of the probabilities that a threshold may take.
+STEPS = 10_000
+
+
 class BoostedTrees:
-    """Trees of depth 2, boosted on the logistic loss; each leaf takes one Newton step."""
+    """Trees of depth 2, boosted on the logistic loss; each leaf takes one Newton step.
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.2, bins: int = 24, least: int = 10):
-        self.trees: list[tuple] = []
-        p = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
-        self.start = float(np.log(p / (1 - p)))
-        if not len(y) or y.min() == y.max():
+    They grow from sums over the rows, wherever these are (see ``grown``); rows given here are summed in place.
+    """
+
+    def __init__(self, x: np.ndarray | None = None, y: np.ndarray | None = None, rounds: int = 60, rate: float = 0.2, bins: int = 24, least: int = 10):
+        self.start, self.trees = 0.0, []
+        if y is None or not len(y):
+            return
+        self.start = odds(int(len(y) - y.sum()), int(y.sum()))
+        if y.min() == y.max():
             return
-        cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
-        z = np.full(len(y), self.start)
-
-        def best(rows: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple | None:
-            top, G, H = None, g[rows].sum(), h[rows].sum()
-            for j, edges in enumerate(cuts):
-                slot = np.searchsorted(edges, x[rows, j], "left")
-                sums = [np.bincount(slot, w, len(edges) + 1).cumsum()[:-1] for w in (g[rows], h[rows], np.ones(len(rows)))]
-                gain = sums[0] ** 2 / (sums[1] + 1) + (G - sums[0]) ** 2 / (H - sums[1] + 1) - G**2 / (H + 1)
-                gain[(sums[2] < least) | (len(rows) - sums[2] < least)] = 0
-                if len(gain) and gain.max() > (top[0] if top else 1e-6):
-                    top = (gain.max(), j, edges[int(gain.argmax())])
-            return top
-
-        for _ in range(rounds):
-            p = sigmoid(z)
-            g, h = y - p, p * (1 - p)
-            root = best(np.arange(len(y)), g, h)
-            if not root:
-                break
-            _, j, t = root
-            sides = []
-            for rows in (np.flatnonzero(x[:, j] <= t), np.flatnonzero(x[:, j] > t)):
-                split = best(rows, g, h)
-                k, u = (split[1], split[2]) if split else (0, np.inf)
-                low = x[rows, k] <= u
-                leaves = [float(rate * g[r].sum() / (h[r].sum() + 1)) for r in (rows[low], rows[~low])]
-                sides.append((k, u, *leaves))
-            self.trees.append((j, t, *sides))
-            z = self.raw(x, z, self.trees[-1:])
-
-    def raw(self, x: np.ndarray, z: np.ndarray | None = None, trees: list | None = None) -> np.ndarray:
-        z = np.full(len(x), self.start) if z is None else z.copy()
-        for j, t, left, right in self.trees if trees is None else trees:
+        cuts = [edges_of(*np.unique(x[:, j], return_counts=True), bins) for j in range(x.shape[1])]
+        growing, weight, sums = grown(self, cuts, rounds, rate, least), np.ones(len(y), np.int64), None
+        with contextlib.suppress(StopIteration):
+            while True:
+                root = growing.send(sums)
+                sums = histograms(self, cuts, root, x, y, weight)
+
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        z = np.full(len(x), self.start)
+        for j, t, left, right in self.trees:
             a, b = (np.where(x[:, k] <= u, lo, hi) for k, u, lo, hi in (left, right))
             z += np.where(x[:, j] <= t, a, b)
         return z
@@ -245,31 +239,82 @@ class BoostedTrees:
         return sigmoid(self.raw(x))
 
 
+def odds(no: int, yes: int) -> float:
+    """The logarithm of the odds, bounded; 0 without rows."""
+    share = np.clip(yes / (no + yes), 1e-3, 1 - 1e-3) if no + yes else 0.5
+    return float(np.log(share / (1 - share)))
+
+
+def edges_of(values: np.ndarray, counts: np.ndarray, bins: int) -> np.ndarray:
+    """Quantiles between the bins of ascending values that occur so often."""
+    values, upto = np.asarray(values, float), np.cumsum(counts)
+    place = np.linspace(0, 1, bins + 1)[1:-1] * (upto[-1] - 1)
+    low, high = (values[np.searchsorted(upto, np.clip(i, 0, upto[-1] - 1), "right")] for i in (np.floor(place), np.floor(place) + 1))
+    return np.unique(low + (place - np.floor(place)) * (high - low))
+
+
+def histograms(trees: BoostedTrees, cuts: list[np.ndarray], root: tuple | None, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Sums of gradients, curvatures and numbers of lessons: (side of the root, feature, bin, 3), in whole units."""
+    width = max(map(len, cuts)) + 1
+    p = trees.probability(x)
+    parts = [np.round(v / UNIT).astype(np.int64) * weight for v in (y - p, p * (1 - p))] + [weight]
+    side = np.zeros(len(x), np.int64) if root is None else (x[:, root[0]] > root[1]).astype(np.int64)
+    out = np.zeros((2, len(cuts), width, 3), np.int64)
+    for j, edges in enumerate(cuts):
+        slot = np.searchsorted(edges, x[:, j], "left")
+        for i, v in enumerate(parts):
+            np.add.at(out[:, j, :, i], (side, slot), v)
+    return out
+
+
+def split(sums: np.ndarray, cuts: list[np.ndarray], least: int, turn: int) -> tuple | None:
+    """(feature, edge) of the largest gain over one node's sums, or None; features that are equally good take turns."""
+    top = None
+    for j in (*range(turn % len(cuts), len(cuts)), *range(turn % len(cuts))):
+        edges = cuts[j]
+        g, h, n = (sums[j, : len(edges) + 1, i].cumsum() * (UNIT if i < 2 else 1) for i in range(3))
+        G, H, N = g[-1], h[-1], n[-1]
+        g, h, n = g[:-1], h[:-1], n[:-1]
+        gain = g**2 / (h + 1) + (G - g) ** 2 / (H - h + 1) - G**2 / (H + 1)
+        gain[(n < least) | (N - n < least)] = 0
+        if len(gain) and gain.max() > (top[0] * (1 + 1e-6) if top else 1e-6):
+            top = (gain.max(), j, edges[int(gain.argmax())])
+    return top and top[1:]
+
+
+def grown(trees: BoostedTrees, cuts: list[np.ndarray], rounds: int = 60, rate: float = 0.2, least: int = 10) -> Generator[tuple | None, np.ndarray, None]:
+    """Grow trees: yields the root by whose sides it wants sums, or None, and is sent the ``histograms`` of all rows."""
+    for turn in range(rounds):
+        root = split((yield None)[0], cuts, least, turn)
+        if not root:
+            return
+        sides = []
+        for sums in (yield root):
+            k, u = split(sums, cuts, least, turn) or (0, np.inf)
+            at = int(np.searchsorted(cuts[k], u, "right")) if u < np.inf else sums.shape[1]
+            sides.append((k, u, *(float(rate * s[0] * UNIT / (s[1] * UNIT + 1)) for s in (sums[k, :at].sum(0), sums[k, at:].sum(0)))))
+        trees.trees.append((*root, *sides))
+
+
 class Judge:
     """Trees and a calibrated threshold for each kind.
 
     ``report``: by kind, the threshold's precision and recall on the documents that the trees have not seen, and the number
-    of positives among them. The threshold is the lowest with at least ``precision`` over at least ``least`` candidates; a
-    kind without one adds nothing.
+    of positives among them. The threshold is the lowest step with at least ``precision`` over at least ``least``
+    candidates; a kind without one adds nothing.
     """
 
-    def __init__(self, kinds: np.ndarray, x: np.ndarray, y: np.ndarray, held: np.ndarray, precision: float, least: int = 20):
-        self.trees, self.thresholds, self.report = {}, {}, {}
+    def __init__(self, trees: dict[str, BoostedTrees], held: dict[str, np.ndarray], precision: float, least: int = 20):
+        """``held``: by kind, the numbers of other candidates and of positives at each step of the probability."""
+        self.trees, self.thresholds, self.report = trees, {}, {}
         for kind in KINDS:
-            own = kinds == kind
-            self.trees[kind] = BoostedTrees(x[own & ~held], y[own & ~held])
-            xs, ys = x[own & held], y[own & held]
-            p = self.trees[kind].probability(xs)
-            order = np.argsort(-p, kind="stable")
-            taken = np.arange(1, len(ys) + 1)
-            right = np.cumsum(ys[order])
-            # equal probabilities are accepted together
-            ends = np.append(p[order][1:] != p[order][:-1], True) if len(ys) else np.zeros(0, bool)
-            good = np.flatnonzero(ends & (right >= precision * taken) & (taken >= least))
-            self.thresholds[kind] = float(p[order][good[-1]]) if len(good) else 2.0
+            right = held[kind][:, 1][::-1].cumsum()[::-1]
+            taken = held[kind].sum(1)[::-1].cumsum()[::-1]
+            good = np.flatnonzero((held[kind].sum(1) > 0) & (right >= precision * taken) & (taken >= least))
+            self.thresholds[kind] = int(good[0]) if len(good) else STEPS + 1
             if len(good):
-                at = good[-1]
-                self.report[kind] = (float(right[at] / taken[at]), float(right[at] / ys.sum()), int(ys.sum()))
+                at = good[0]
+                self.report[kind] = (float(right[at] / taken[at]), float(right[at] / right[0]), int(right[0]))
 
     def accept(self, spans: list[Span], x: np.ndarray) -> list[Span]:
         """The spans at or above their kind's threshold; of overlapping ones the likeliest."""
@@ -278,7 +323,7 @@ class Judge:
             own = np.flatnonzero(kinds == kind)
             if len(own):
                 p[own] = self.trees[kind].probability(x[own])
-                over[own] = p[own] >= self.thresholds[kind]
+                over[own] = np.floor(p[own] * STEPS) >= self.thresholds[kind]
         out: list[Span] = []
         for i in np.lexsort((np.arange(len(spans)), -p)):
             if over[i] and not any(spans[i][0] < e and a < spans[i][1] for a, e, _ in out):
@@ -286,26 +331,92 @@ class Judge:
         return sorted(out)
 
 
-def fit_judge(docs: DataFrame, key: str = "doc_id", text: str = "text", bound: int = 20_000, precision: float = 0.9) -> Judge:
-    """Fit on the lessons of ``bound`` documents, those of the lowest hashes of key and text; texts stay on the executors."""
+def fit_judge(docs: DataFrame, text: str = "text", precision: float = 0.9, bins: int = 24) -> Judge:
+    """Fit on the lessons of all documents; neither texts nor lessons leave the executors.
 
+    A line may be copied into many documents: what stands in the same surroundings counts once. Equal lessons are one row
+    with a weight, written once; each step of the boosting sums gradients over these rows, and what comes to the driver are
+    sums by feature and bin, numbers of each value of a feature, and numbers by steps of the probability.
+    """
     def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.list_(pa.float64()), pa.bool_(), pa.int64(), pa.bool_())
         for batch in batches:
-            rows = []
-            for text in batch.column(0).to_pylist():
-                held = zlib.crc32((text or "").encode("utf-8", "replace")) % 2 == 1
-                rows += [(*lesson, held) for lesson in lessons(text or "")]
-            kinds = (pa.string(), pa.list_(pa.float64()), pa.bool_(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["kind", "x", "y", "near", "held"])
-
-    hashed = docs.select(F.xxhash64(key, text).alias("h"), F.col(text).alias("text"))
-    last = hashed.select("h").orderBy("h").limit(bound).agg(F.max("h")).first()[0]
-    chosen = hashed.where(F.col("h") <= F.lit(last)) if last is not None else hashed.limit(0)
-    rows = chosen.select("text").mapInArrow(learnt, "kind string, x array<double>, y boolean, near long, held boolean")
-    # a line may be copied into many documents: what stands in the same surroundings counts once, in an order of its own
-    got = rows.distinct().orderBy(F.xxhash64("near", "kind", "x", "y", "held"), "near", "kind", "x", "y", "held").limit(4 * bound).toPandas()
-    x = np.array(got["x"].tolist()).reshape(len(got), len(FEATURES))
-    return Judge(got["kind"].to_numpy(str), x, got["y"].to_numpy(float), got["held"].to_numpy(bool), precision)
+            for at in range(0, batch.num_rows, 256):  # few texts at a time as Python strings
+                rows = []
+                for t in batch.column(0).slice(at, 256).to_pylist():
+                    held = zlib.crc32((t or "").encode("utf-8", "replace")) % 2 == 1
+                    rows += [(*lesson, held) for lesson in lessons(t or "")]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["kind", "x", "y", "near", "held"])
+
+    once = docs.select(F.col(text).alias("text")).where("text is not null").mapInArrow(learnt, "kind string, x array<double>, y boolean, near long, held boolean").distinct()
+    table = stash(once.groupBy("kind", "x", "y", "held").agg(F.count(F.lit(1)).alias("n")), "lessons")
+
+    taught = table.where("not held")
+    values = taught.select("kind", "n", F.posexplode("x").alias("j", "v")).groupBy("kind", "j", "v").agg(F.sum("n").alias("n"))
+    of = {kind: [([], []) for _ in FEATURES] for kind in KINDS}
+    for r in values.orderBy("v").collect():  # descriptions are coarse, so a feature has few values, however many lessons
+        for side, v in zip(of[r["kind"]][r["j"]], (r["v"], r["n"]), strict=True):
+            side.append(v)
+    number = {kind: {False: 0, True: 0} for kind in KINDS}
+    for r in taught.groupBy("kind", "y").agg(F.sum("n").alias("n")).collect():
+        number[r["kind"]][r["y"]] = r["n"]
+    trees, cuts, growing, asked = {kind: BoostedTrees() for kind in KINDS}, {}, {}, {}
+    for kind in KINDS:
+        no, yes = number[kind][False], number[kind][True]
+        trees[kind].start = odds(no, yes)
+        if no and yes:
+            cuts[kind] = [edges_of(*side, bins) for side in of[kind]]
+            growing[kind] = grown(trees[kind], cuts[kind])
+            asked[kind] = next(growing[kind])
+    while asked:
+        sums = _summed(taught, trees, asked, cuts)
+        for kind in list(asked):
+            try:
+                asked[kind] = growing[kind].send(sums[kind])
+            except StopIteration:
+                del asked[kind]
+
+    def stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, x, y, n in _by_kind(batches):
+            at = np.floor(trees[kind].probability(x) * STEPS).astype(np.int64) * 2 + y.astype(np.int64)
+            count = np.zeros(2 * STEPS + 2, np.int64)
+            np.add.at(count, at, n)
+            some = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array([kind] * len(some)), pa.array(some), pa.array(count[some])], names=["kind", "at", "n"])
+
+    held = {kind: np.zeros((STEPS + 1, 2), np.int64) for kind in KINDS}
+    judged = table.where("held").select("kind", "x", "y", "n").mapInArrow(stepped, "kind string, at long, n long")
+    for r in judged.groupBy("kind", "at").agg(F.sum("n").alias("n")).collect():
+        held[r["kind"]][r["at"] // 2, r["at"] % 2] = r["n"]
+    return Judge(trees, held, precision)
+
+
+def _by_kind(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """(kind, x, y, weights) of batches of (kind, x, y, n)."""
+    for batch in batches:
+        kinds = np.array(batch.column(0).to_pylist())
+        x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, len(FEATURES))
+        y, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+        for kind in np.unique(kinds):
+            own = kinds == kind
+            yield str(kind), x[own], y[own].astype(float), n[own]
+
+
+def _summed(rows: DataFrame, trees: dict[str, BoostedTrees], asked: dict[str, tuple | None], cuts: dict[str, list[np.ndarray]]) -> dict[str, np.ndarray]:
+    """The histograms that each kind asks for, added up over all rows; each task gives one row for each kind."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for kind, x, y, n in _by_kind(batches):
+            if kind in asked:
+                got = histograms(trees[kind], cuts[kind], asked[kind], x, y, n)
+                total[kind] = total[kind] + got if kind in total else got
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([t.tobytes() for t in total.values()], pa.binary())], names=["kind", "sums"])
+
+    out = {kind: np.zeros((2, len(FEATURES), max(map(len, cuts[kind])) + 1, 3), np.int64) for kind in asked}
+    for kind, part in rows.select("kind", "x", "y", "n").mapInArrow(sums, "kind string, sums binary").collect():
+        out[kind] += np.frombuffer(part, np.int64).reshape(out[kind].shape)
+    return out
 
 
 def personal_spans(docs: DataFrame, judge: Judge, key: str = "doc_id", text: str = "text") -> DataFrame:

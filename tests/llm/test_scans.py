@@ -129,6 +129,23 @@ def test_boosted_trees_learn_and_stay_constant_without_contrast():
     assert (BoostedTrees(x, np.ones(2000)).probability(x) > 0.99).all()
 
 
+def test_the_judge_learns_from_all_documents(spark):
+    import zlib
+
+    texts = [f"line {i} " + (f"write to u{i}@mail.example{i % 7}.com or u{i} (at) b{i} (dot) com" if i % 25 == 0 else "green stone") for i in range(26_000)]
+    taught, seen = {}, set()
+    for t in texts:
+        held = zlib.crc32(t.encode()) % 2 == 1
+        for kind, x, y, near in personal_data.lessons(t):
+            if (lesson := (kind, tuple(x), y, near, held)) not in seen:
+                seen.add(lesson)
+                taught.setdefault((kind, held), []).append((x, y))
+    judge = fit_judge(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert judge.report["email"][2] == sum(y for _, y in taught["email", True]) > 800
+    x, y = (np.array(v, float) for v in zip(*taught["email", False], strict=True))
+    assert judge.trees["email"].trees == BoostedTrees(x, y).trees and len(judge.trees["email"].trees) > 5
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 6), min_size=1, max_size=12), st.data())
 def test_allocation_keeps_the_total(lengths, data):
