@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomframe.llm.decontaminate import benchmark_leaks
+from loomframe.llm.decontaminate import without_leaks
 from loomframe.llm.exact_dedup import content_sort_dedup
 from loomframe.llm.mixing import DIGITS, pareto_mixture
 from loomframe.llm.ngram_join import jaccard_groups
@@ -64,15 +64,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item.
+    """Documents that hold no benchmark item, in one pass and without a shuffle.
 
     Defined cases: every row is judged by its whole text, so rows with a null doc_id, repeated rows and ties fare alike;
     null and empty texts hold nothing and stay; an empty benchmark removes nothing; an empty table stays empty; further
     columns are carried along.
     """
-    keyed = _keyed(docs)
-    leaks = benchmark_leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=KEY)
-    return keyed.join(leaks.select(KEY).distinct(), KEY, "left_anti").select(*docs.columns)
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -190,6 +190,38 @@ class ItemIndex:
             yield r, item, *found
 
 
+def indexes(items: DataFrame, scratch: Scratch, least: float, shard: int) -> Iterator[tuple[int, ItemIndex]]:
+    """(number of shards, index) of each shard of (item, text), one after the other."""
+
+    def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [_words(t or "") for t in batch.column(0).to_pylist()]
+            own = [np.unique(w) for w in words]
+            part = np.repeat(batch.column(1).to_numpy(), [len(w) for w in own])
+            terms = np.concatenate([*own, np.zeros(0, np.uint64)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part, pa.int64()), pa.array(terms.view(np.int64)), pa.array(np.zeros(len(terms), np.int64))], names=["part", "term", "length"]
+            )
+            # the items' lengths, as rows without a term
+            n = len(words)
+            lengths = pa.array([len(w) for w in words], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1), pa.int64()), pa.nulls(n, pa.int64()), lengths], names=["part", "term", "length"])
+
+    parts = max(1, -(-items.count() // shard))
+    sharded = items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)).cast("long"))
+    terms = scratch.put(sharded.select("text", "part").mapInArrow(terms_of, "part long, term long, length long"), "terms")
+    n, mean = terms.where("term is null").agg(F.count(F.lit(1)), F.avg("length")).first()
+    frequency = terms.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    for part in range(parts):
+        # a shard at a time on the driver: its items and their terms, however many there are in all
+        rows = sharded.where(F.col("part") == part).orderBy("item", "text").collect()
+        own = terms.where((F.col("part") == part) & F.col("term").isNotNull()).select("term").distinct()
+        df = frequency.join(own, "term").toPandas()
+        order = np.argsort(df["term"].to_numpy("int64").view(np.uint64))
+        statistics = Statistics(n, max(1.0, mean or 1.0), df["term"].to_numpy("int64").view(np.uint64)[order], df["df"].to_numpy("int64")[order])
+        yield parts, ItemIndex([r["item"] for r in rows], [r["text"] for r in rows], least, statistics)
+
+
 def benchmark_leaks(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
     least: float = 0.6, overlap: float = 0.6, shard: int = SHARD,
@@ -235,38 +267,43 @@ def benchmark_leaks(
 
         return texts.mapInArrow(run, schema)
 
-    def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [_words(t or "") for t in batch.column(0).to_pylist()]
-            own = [np.unique(w) for w in words]
-            part = np.repeat(batch.column(1).to_numpy(), [len(w) for w in own])
-            terms = np.concatenate([*own, np.zeros(0, np.uint64)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.int64()), pa.array(terms.view(np.int64)), pa.array(np.zeros(len(terms), np.int64))], names=["part", "term", "length"]
-            )
-            # the items' lengths, as rows without a term
-            n = len(words)
-            lengths = pa.array([len(w) for w in words], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1), pa.int64()), pa.nulls(n, pa.int64()), lengths], names=["part", "term", "length"])
-
     item_type = to_arrow_type(items.schema["item"].dataType)
-    parts = max(1, -(-items.count() // shard))
-    scratch = Scratch(docs.sparkSession, "benchmark")
-    sharded = items.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)).cast("long"))
-    terms = scratch.put(sharded.select("text", "part").mapInArrow(terms_of, "part long, term long, length long"), "terms")
-    n, mean = terms.where("term is null").agg(F.count(F.lit(1)), F.avg("length")).first()
-    frequency = terms.where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    found = []
-    for part in range(parts):
-        # a shard at a time on the driver: its items and their terms, however many there are in all
-        rows = sharded.where(F.col("part") == part).orderBy("item", "text").collect()
-        own = terms.where((F.col("part") == part) & F.col("term").isNotNull()).select("term").distinct()
-        df = frequency.join(own, "term").toPandas()
-        order = np.argsort(df["term"].to_numpy("int64").view(np.uint64))
-        statistics = Statistics(n, max(1.0, mean or 1.0), df["term"].to_numpy("int64").view(np.uint64)[order], df["df"].to_numpy("int64")[order])
-        leaks = query(ItemIndex([r["item"] for r in rows], [r["text"] for r in rows], least, statistics))
-        found.append(leaks if parts == 1 else scratch.put(leaks, f"leaks-{part}"))
+    scratch, found = Scratch(docs.sparkSession, "benchmark"), []
+    for part, (parts, index) in enumerate(indexes(items, scratch, least, shard)):
+        found.append(query(index) if parts == 1 else scratch.put(query(index), f"leaks-{part}"))
     leaks = reduce(DataFrame.union, found).groupBy("id", "item").agg(
         F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("best")
     )
     return leaks.select(F.col("id").alias(key), F.col("item").alias(item), "best.*")
+
+
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
+    least: float = 0.6, overlap: float = 0.6, shard: int = SHARD,
+) -> DataFrame:
+    """The rows of ``docs`` for which ``benchmark_leaks`` finds nothing, with all their columns; keys play no part.
+
+    One pass for each shard, without a shuffle; with several shards each pass writes the rows it leaves for the next.
+    """
+    place = docs.columns.index(text)
+    items = benchmark.select(F.col(item).alias("item"), F.col(item_text).alias("text"))
+
+    def left(rows: DataFrame, index: ItemIndex) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for row, _, off, data in chunks(batch.column(place)):
+                    starts, ends, firsts = spans(off, data)
+                    words = word_hashes(data, starts, _trimmed(data, starts, ends)) if len(starts) else starts
+                    for r, *_ in index.leaks(words, firsts, overlap):
+                        clean[row + r] = False
+                yield batch.filter(pa.array(clean))
+
+        return rows.mapInArrow(run, docs.schema)
+
+    scratch = Scratch(docs.sparkSession, "benchmark")
+    for part, (parts, index) in enumerate(indexes(items, scratch, least, shard)):
+        docs = left(docs, index) if parts == 1 else scratch.put(left(docs, index), f"left-{part}")
+        if part:
+            scratch.drop(f"left-{part - 1}")
+    return docs

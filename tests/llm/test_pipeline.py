@@ -49,3 +49,20 @@ def test_stages_take_an_empty_table(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, tables).count() == 0
+
+
+def test_decontaminate_shuffles_no_texts(spark, tables, capsys):
+    from loomframe.llm.decontaminate import benchmark_leaks, without_leaks
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet").union(spark.createDataFrame([(None, None, "en", "s1", 0), (402, "", "en", "s1", 0)], "doc_id long, text string, lang string, source string, n_chars long"))
+    docs = docs.withColumn("m", F.create_map("source", "n_chars"))
+    benchmark = spark.read.parquet(f"{tables}/benchmark.parquet").union(docs.where("doc_id in (7, 8, 9)").select("doc_id", "text"))
+    got = corpus_pipeline.decontaminate(spark, docs, tables)
+    got.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    keyed = docs.withColumn("k", F.struct("doc_id", "text"))
+    for shard in (4096, 2):
+        leaked = {(r["k"]["doc_id"], r["k"]["text"]) for r in benchmark_leaks(keyed, benchmark, key="k", shard=shard).collect()}
+        kept = without_leaks(docs, benchmark, shard=shard).collect()
+        want = [r for r in docs.collect() if (r["doc_id"], r["text"]) not in leaked]
+        assert len(leaked) >= 4 and sorted(map(str, kept)) == sorted(map(str, want))
